@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import copies, leakage, sitelines
+from . import copies, leakage, sentences, sitelines, template
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(table(spark, d, "page_records"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return template.body_keys(table(spark, d, "raw_html"))
+
+
+def p2_template(spark: SparkSession, d: str) -> DataFrame:
+    return template.template_classes(table(spark, d, "raw_html"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.excessive(table(spark, d, "raw_html"))
 
@@ -34,8 +42,12 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_collapsed, p4_found, p4_cleaned, p6_found, p6_cleaned]
+    found = [p1_found, p1_collapsed, p2_found, p2_template, p4_found, p4_cleaned, p6_found, p6_cleaned, p8_found]
     return {f.__name__: f for f in found}
 
 
