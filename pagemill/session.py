@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,25 @@ def local_session(app: str = "pagemill", cores: str = "*", partitions: int = 8)
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on every executor, once per application.
+
+    The driver serves the archive to executors, those that join later included.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pagemill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="pagemill-")) / "pagemill.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    context.addPyFile(str(archive))
+    context._pagemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
