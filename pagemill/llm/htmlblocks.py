@@ -11,6 +11,8 @@ import hashlib
 import html as _html
 import re
 
+import xxhash
+
 #: Tags that do not separate text blocks.
 INLINE = frozenset("a abbr b code em i kbd mark small span strong sub sup u button label img".split())
 #: Elements without text.
@@ -44,7 +46,9 @@ def key64(text: str) -> int:
 
 
 def hash64(token: str) -> int:
-    return int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()[8:], "big", signed=True)
+    """A 64-bit digest that is the same in every process."""
+    h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def text_blocks(page: str | None) -> list[str]:
@@ -103,6 +107,24 @@ def _dense(text: str) -> int:
     return len(text) - text.count(" ") - text.count("\n")
 
 
+_IS_INLINE, _IS_BR, _ENDS, _SIBLING, _IS_VOID = 1, 2, 4, 8, 16
+_P_SCOPE = frozenset(("td", "th", "table", "div", "li"))
+_KIND: dict[str, int] = dict.fromkeys(INLINE, _IS_INLINE)
+for _t in (*_ENDS_P, *_SIBLINGS, *_VOID):
+    _KIND.setdefault(_t, (_ENDS if _t in _ENDS_P else 0) | (_SIBLING if _t in _SIBLINGS else 0) | (_IS_VOID if _t in _VOID else 0))
+_KIND["br"] = _IS_BR
+for _t in ("#root", "body", "html", "main", "article", "aside", "div", "nav", "section", "header", "footer", "p", "ul", "ol", "pre", "td", "tr", "table"):
+    _KIND.setdefault(_t, 0)
+_CLASSES: dict[str, str] = {}
+
+
+def _add(blocks: list[Block], buf: list[str], node: int, linked: int, inner: list[str]) -> None:
+    raw = "".join(buf) if len(buf) > 1 else buf[0]
+    text = _html.unescape(raw) if "&" in raw else raw
+    if text and not text.isspace():
+        blocks.append(Block(text, node, linked, _dense(raw), 0, tuple(inner)))
+
+
 def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     """Element tree (block-level elements only) and text blocks of a page.
 
@@ -119,53 +141,53 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     inner: list[str] = []
     links = linked = pos = 0
 
-    def flush() -> None:
-        nonlocal linked
-        raw = "".join(buf)
-        buf.clear()
-        if raw and not raw.isspace():
-            text = _html.unescape(raw) if "&" in raw else raw
-            if not text.isspace():
-                blocks.append(Block(text, stack[-1], linked, _dense(raw), 0, tuple(inner)))
-        linked = 0
-        inner.clear()
-
     for m in _TAG.finditer(page):
         start = m.start()
         if start > pos:
             part = page[pos:start]
-            buf.append(part)
-            if links:
-                linked += _dense(part)
+            if not part.isspace():
+                buf.append(part)
+                if links:
+                    linked += _dense(part)
+            elif buf:
+                buf.append(" ")
         pos = m.end()
         closing, tag, attrs = m.groups()
-        tag = tag.lower()
-        if tag in INLINE:
+        kind = _KIND.get(tag)
+        if kind is None:
+            tag = tag.lower()
+            kind = _KIND.get(tag, 0)
+        if kind == _IS_INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if closing else 1))
             elif not closing:
                 inner.append(tag + attrs)
             continue
-        if tag == "br":
-            buf.append(" ")
+        if kind == _IS_BR:
+            if buf:
+                buf.append(" ")
             continue
-        flush()
-        links = 0
+        if buf:
+            _add(blocks, buf, stack[-1], linked, inner)
+            buf = []
+        if inner:
+            inner = []
+        linked = links = 0
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag == tag:
                     del stack[i:]
                     break
             continue
-        if tag in _ENDS_P:
+        if kind & _ENDS:
             for i in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[i]].tag
                 if t == "p":
                     del stack[i:]
                     break
-                if t in ("td", "th", "table", "div", "li"):
+                if t in _P_SCOPE:
                     break
-        if tag in _SIBLINGS:
+        if kind & _SIBLING:
             ends, scope = _SIBLINGS[tag]
             cut = 0
             for i in range(len(stack) - 1, 0, -1):
@@ -176,18 +198,22 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
                     cut = i
             if cut:
                 del stack[cut:]
-        if tag in _VOID:
+        if kind & _IS_VOID:
             continue
         parent = stack[-1]
         p = nodes[parent]
         cls = ""
-        if attrs and not attrs.isspace():
-            found = _CLASS.findall(attrs)
-            if found:
-                cls = ".".join(x or y or z for x, y, z in found)
+        if attrs:
+            cls = _CLASSES.get(attrs)
+            if cls is None:
+                cls = ".".join(x or y or z for x, y, z in _CLASS.findall(attrs))
+                if len(_CLASSES) < 50_000:
+                    _CLASSES[attrs] = cls
         nodes.append(Node(tag, cls, parent, p.depth + 1, p.kids))
         p.kids += 1
         stack.append(len(nodes) - 1)
-    buf.append(page[pos:])
-    flush()
+    if pos < len(page):
+        buf.append(page[pos:])
+    if buf:
+        _add(blocks, buf, stack[-1], linked, inner)
     return nodes, blocks

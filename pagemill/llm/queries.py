@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import copies, leakage, sentences, sitelines, template
+from . import copies, leakage, residue, sentences, sitelines, template
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,10 @@ def p2_template(spark: SparkSession, d: str) -> DataFrame:
     return template.template_classes(table(spark, d, "raw_html"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_files(table(spark, d, "raw_html"), table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.excessive(table(spark, d, "raw_html"))
 
@@ -47,7 +51,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_collapsed, p2_found, p2_template, p4_found, p4_cleaned, p6_found, p6_cleaned, p8_found]
+    found = [p1_found, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p6_found, p6_cleaned, p8_found]
     return {f.__name__: f for f in found}
 
 
