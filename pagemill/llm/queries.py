@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import copies, leakage, residue, sentences, sitelines, template
+from . import copies, leakage, markup, residue, sentences, sitelines, template
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_excessive(table(spark, d, "raw_html"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.structure(table(spark, d, "raw_md"), table(spark, d, "raw_html"))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_text(table(spark, d, "raw_md"), table(spark, d, "raw_html"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
 
@@ -51,7 +59,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p6_found, p6_cleaned, p8_found]
+    found = [p1_found, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p8_found]
     return {f.__name__: f for f in found}
 
 
