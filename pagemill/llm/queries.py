@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import copies, leakage, markup, residue, sentences, sitelines, template
+from . import copies, leakage, markup, mixing, residue, sentences, sitelines, template
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,12 +54,20 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p8_found]
+    found = [p1_found, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p8_found]
     return {f.__name__: f for f in found}
 
 
