@@ -17,7 +17,7 @@ def count_of(c: Column, phrase: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
 def strip_markdown(c: Column) -> Column:

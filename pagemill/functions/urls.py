@@ -18,17 +18,17 @@ def scheme(url: Column) -> Column:
 def host(url: Column) -> Column:
     """Lower-case host without user and port."""
     authority = F.regexp_replace(F.regexp_extract(url, PARTS, 2), r"^.*@", "")
-    return F.lower(F.regexp_replace(authority, r":\d*$", ""))
+    return F.lower(F.regexp_replace(authority, r":\d*\z", ""))
 
 
 def path(url: Column) -> Column:
     """Path without the parameters of its last segment."""
-    return F.regexp_replace(F.regexp_extract(url, PARTS, 3), r";[^/]*$", "")
+    return F.regexp_replace(F.regexp_extract(url, PARTS, 3), r";[^/]*\z", "")
 
 
 def normalize(url: Column) -> Column:
     """Scheme (https by default) and host in lower case, no fragment, user, port or closing slashes; the query stays."""
-    p = F.regexp_replace(path(url), r"/+$", "")
+    p = F.regexp_replace(path(url), r"/+\z", "")
     s, q = scheme(url), F.regexp_extract(url, PARTS, 4)
     return F.concat(
         F.when(s == "", F.lit("https")).otherwise(s), F.lit("://"), host(url), F.when(p == "", F.lit("/")).otherwise(p), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))
@@ -39,7 +39,7 @@ def absolute(url: Column, base: Column) -> Column:
     """Resolve a reference against a base: absolute, host-relative, path-relative; dot segments are left."""
     b_scheme, b_host = F.regexp_extract(base, PARTS, 1), F.regexp_extract(base, PARTS, 2)
     root = F.concat(b_scheme, F.lit("://"), b_host)
-    folder = F.regexp_replace(F.regexp_extract(base, PARTS, 3), r"[^/]*$", "")
+    folder = F.regexp_replace(F.regexp_extract(base, PARTS, 3), r"[^/]*\z", "")
     return (
         F.when(url.isNull() | (url == ""), base)
         .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
@@ -65,7 +65,7 @@ def allowed(url: Column, allow: Column, deny: Column) -> Column:
 
 def bare(url: Column) -> Column:
     """A page's address without the suffix of its Markdown endpoint."""
-    return F.regexp_replace(url, r"\.md$", "")
+    return F.regexp_replace(url, r"\.md\z", "")
 
 
 def markdown_endpoint(url: Column, suffixes: Column) -> Column:
@@ -92,14 +92,14 @@ def store_name(url: Column, suffix: str) -> Column:
 def output_path(root: str, site_name: Column, url: Column) -> Column:
     """Where a page's Markdown goes; the suffix of an endpoint is cut, a folder becomes its index. Queries do not count."""
     p = path(url)
-    cut = F.regexp_replace(p, r"/+$", "")
-    named = F.when(cut.endswith(".html"), F.regexp_replace(cut, r"\.html$", "")).when(cut.endswith(".md"), F.regexp_replace(cut, r"\.md$", "")).when(p.endswith("/"), F.concat(cut, F.lit("/index"))).otherwise(cut)
+    cut = F.regexp_replace(p, r"/+\z", "")
+    named = F.when(cut.endswith(".html"), F.regexp_replace(cut, r"\.html\z", "")).when(cut.endswith(".md"), F.regexp_replace(cut, r"\.md\z", "")).when(p.endswith("/"), F.concat(cut, F.lit("/index"))).otherwise(cut)
     file = F.when((p == "") | (p == "/"), F.lit("index.md")).otherwise(F.concat(F.regexp_replace(named, r"^/+", ""), F.lit(".md")))
     return F.concat(F.lit(root + "/"), site_name, F.lit("/"), file)
 
 
 #: Fixed value: attributes that say nothing about navigation.
-NAV_ATTRIBUTES = r"(?i)\s+(class|style|data-\w+|tabindex|aria-\w+)(=\"[^\"]*\")?"
+NAV_ATTRIBUTES = r"(?i)[^\S\n]+(class|style|data-\w+|tabindex|aria-\w+)(=\"[^\"\n]*\")?"
 
 
 def strip_attributes(html: Column) -> Column:
