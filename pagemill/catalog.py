@@ -13,7 +13,7 @@ from .functions import text, urls
 from .model import FINGERPRINTS, MANIFEST_PAGE, NOISE_PHRASES, Options
 from .operators import dedup, detect, markdown, nav, quality
 from .plans import engine, output
-from .session import table
+from .session import spread, table
 from .sources import index, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,7 +522,7 @@ def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @query()
 def normalize_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_md").select("raw_md_path", "body").mapInArrow(_normalize, "raw_md_path string, md string")
+    return spread(table(spark, d, "raw_md").select("raw_md_path", "body")).mapInArrow(_normalize, "raw_md_path string, md string")
 
 
 @query()

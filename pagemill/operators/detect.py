@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FINGERPRINTS, PROFILES, SCORE_THRESHOLD
+from ..session import spread
 from .dom import Element, _compiled, _matches, parse
 
 
@@ -61,7 +62,7 @@ def framework_from_scores(c: Column) -> Column:
 
 def detect(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, framework, scores): rules in Python, the decision natively."""
-    found = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(_detect, f"key {dict(pages.dtypes)[key]}, scores array<int>")
+    found = spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html"))).mapInArrow(_detect, f"key {dict(pages.dtypes)[key]}, scores array<int>")
     return found.select(F.col("key").alias(key), framework_from_scores(F.col("scores")).alias("framework"), "scores")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..model import NAV_CAP, NAV_LINKS, NAV_SELECTORS
+from ..session import spread
 from .dom import Element, parse
 from .quality import parse_reply
 
@@ -47,7 +48,7 @@ def extract_nav(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([nav_html(h) for h in b.column("html").to_pylist()], pa.string())], ["key", "nav_html"])
 
-    out = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"key {dict(pages.dtypes)[key]}, nav_html string")
+    out = spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html"))).mapInArrow(run, f"key {dict(pages.dtypes)[key]}, nav_html string")
     return out.withColumnRenamed("key", key)
 
 

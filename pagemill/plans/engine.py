@@ -17,6 +17,7 @@ from ..model import ACTION, FALLBACK_PHRASES, REPORT, WIDE_SELECTOR, Options, Pr
 from ..operators import markdown, quality
 from ..operators.clean import run_chain
 from ..operators.detect import framework_of
+from ..session import spread
 
 RESULT = "framework string, content string, steps array<string>, retry_count int, report {report}, error string".format(report=REPORT.simpleString())
 
@@ -110,7 +111,7 @@ def run(records: DataFrame, options: Options | None = None, ask: Callable[[str],
     rows = records.withColumn("_low", F.col("content").isNotNull() & text.low_value(F.col("content"))) if o.precheck else records.withColumn("_low", F.lit(False))
     todo = rows.where(~F.col("_low")).select(*keep, "source", known.alias("framework_in"), F.col("content").alias("content_in"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema.fields)
-    done = todo.mapInArrow(_stage(o, ask, extractor), f"{fields}, {RESULT}" if fields else RESULT)
+    done = spread(todo).mapInArrow(_stage(o, ask, extractor), f"{fields}, {RESULT}" if fields else RESULT)
     done = done.withColumn("status", F.when(F.col("report").isNull(), "failed").when(F.col("report.passed"), "passed").otherwise("manual_review"))
     if not o.precheck:
         return done

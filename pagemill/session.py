@@ -59,3 +59,17 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, per_task: int = 4 << 20) -> DataFrame:
+    """Rows over all cores before a Python stage, if the input is so small that it comes in fewer parts.
+
+    Large inputs have enough parts by themselves and are never shuffled for this. The size
+    is that of the plan's sources, known to the optimizer before anything runs.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    held = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if held < cores * per_task else df
