@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Fixed value of the problem: words a leak has at least.
 LEAST = 12
 
@@ -188,7 +190,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, max_by
     id given twice counts once; a null id is kept out.
     """
     items = sorted((r[0], r[1]) for r in benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator())
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    docs = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
     out = None
     for part in _parts(items, max_bytes):
         found = docs.mapInArrow(_match(least, part), "doc_id long, item_id long, longest long, covered double")
@@ -230,4 +232,4 @@ def _clean(least: int, items: list[tuple[int, str | None]], max_covered: float):
 def without_leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, max_covered: float = 0.5) -> DataFrame:
     """(doc_id, text): leaked runs cut out; a document covered beyond ``max_covered`` gets null text."""
     items = sorted((r[0], r[1]) for r in benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator())
-    return documents.select("doc_id", "text").mapInArrow(_clean(least, items, max_covered), "doc_id long, text string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_clean(least, items, max_covered), "doc_id long, text string")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import template
 from .gbt import Boosted
 from .htmlblocks import key64, norm, parse
@@ -539,7 +540,7 @@ def render(elements: list[tuple[int, str, str]]) -> str:
 
 def _both(raw_md: DataFrame, raw_html: DataFrame, text: bool, schema: str) -> DataFrame:
     model = fit()
-    bodies = raw_md.select(F.col("raw_md_path").alias("path"), "body").mapInArrow(_bodies(model, text), schema)
+    bodies = spread(raw_md.select(F.col("raw_md_path").alias("path"), "body")).mapInArrow(_bodies(model, text), schema)
     return bodies.unionByName(template.attach(raw_html, template.template(raw_html)).mapInArrow(_pages(model, text), schema))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,7 +60,7 @@ def token_counts(documents: DataFrame, targets: DataFrame, path: str = VOCABULAR
     """(doc_id, source, tokens) of the documents of targeted sources that have a token."""
     wanted = targets.select("source").where(F.col("source").isNotNull()).distinct()
     d = documents.select("doc_id", "source", "text").where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull())
-    return d.join(F.broadcast(wanted), "source", "left_semi").mapInArrow(_counter(path), "doc_id long, source string, tokens long")
+    return spread(d.join(F.broadcast(wanted), "source", "left_semi")).mapInArrow(_counter(path), "doc_id long, source string, tokens long")
 
 
 def offsets(counts: DataFrame, bucket_docs: int = 100_000) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from .htmlblocks import key64, text_blocks
 
 #: Fixed values of the problem.
@@ -35,9 +35,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lines(pages: DataFrame, path: str = "raw_html_path", site: str = "site_name", html: str = "html") -> DataFrame:
     """(path, site, keys): the line keys of every file in order. A file given twice counts twice."""
-    return pages.select(F.col(path).alias("path"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.col(html).alias("html")).mapInArrow(
-        _lines, "path string, site string, keys array<long>"
-    )
+    p = pages.select(F.col(path).alias("path"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.col(html).alias("html"))
+    return spread(p).mapInArrow(_lines, "path string, site string, keys array<long>")
 
 
 def support(found: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
