@@ -412,7 +412,7 @@ def _sentence(r: random.Random, k: int = 0) -> str:
 def _compose(r: random.Random, kind: str) -> tuple[str, set[tuple[str, str]]]:
     """A document in one dialect and its true elements."""
     parts: list[str] = []
-    tagged = r.random() < 0.4  # paragraphs in tags
+    tagged = r.random() < 0.5  # paragraphs in tags
     true: set[tuple[str, str]] = set()
 
     def add(k: str, text: str) -> str:
@@ -420,9 +420,9 @@ def _compose(r: random.Random, kind: str) -> tuple[str, set[tuple[str, str]]]:
         return text
 
     def code() -> str:
-        return "\n".join(r.choice(["x = 1", "# start the thing", "== 12 ==", "* file.db '''4'''", "\\section{7}", "- entry", "1. step", "echo $HOME $PATH", "if a < b and c > d:", "    return rows", "\"cost\": \"$5\"", "key: value", "<h2>t</h2>", "<li>q</li>", "$x$ not math"]) for _ in range(r.randint(2, 6)))
+        return "\n".join(r.choice(["x = 1", "# start the thing", "== 12 ==", "* file.db '''4'''", "\\section{7}", "- entry", "1. step", "echo $HOME $PATH", "if a < b and c > d:", "    return rows", "\"cost\": \"$5\"", "key: value", "<h2>t</h2>", "<li>q</li>", "$x$ not math"]) for _ in range(r.randint(1, 6)))
 
-    for _ in range(r.randint(1, 13)):
+    for _ in range(r.choice((r.randint(1, 3), r.randint(3, 14)))):
         what = r.random()
         s = _sentence(r)
         if what < 0.22:
@@ -476,7 +476,7 @@ def _compose(r: random.Random, kind: str) -> tuple[str, set[tuple[str, str]]]:
     return "\n\n".join(parts) + "\n", true
 
 
-def fit(documents: int = 600, seed: int = 7) -> Model:
+def fit(documents: int = 1200, seed: int = 7) -> Model:
     """Trees fitted on ``documents`` composed documents; the same for every call."""
     r = random.Random(seed)
     rows: list[tuple[int, ...]] = []
