@@ -75,7 +75,7 @@ def main(argv: Sequence[str] | None = None, transport: http.Transport = http.url
         return _process(files, options)
     files = store.scan_html(spark, args.folder).select(F.col("url").alias("name"), "content")
     if args.action == "status":
-        pages = store.read_manifest(spark, f"{args.folder}/_manifest.json")
+        pages = store.read_manifest(spark, f"{args.folder}/manifest.json")
         print(store.status(files, pages).first().asDict())
     else:
         for r in files.select("name", F.octet_length("content").alias("n")).orderBy("name").limit(30).toLocalIterator():

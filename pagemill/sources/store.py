@@ -13,7 +13,7 @@ from ..functions.text import size_text
 from ..model import MANIFEST, MIN_MARKDOWN_BYTES
 from ..operators.dedup import manifest as ranked
 
-_NAME = "_manifest.json"
+_NAME = "manifest.json"
 
 
 def is_native_markdown(body: Column) -> Column:
@@ -72,9 +72,16 @@ def write_manifest(records: DataFrame, folder: str, at: Column | None = None) ->
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a pretty-printed manifest document; an absent file is a manifest without pages."""
-    if not Path(path).exists():
+    """Pages of a manifest document; an absent file is a manifest without pages.
+
+    File names that Spark passes over as hidden are read by the driver: one document of one site.
+    """
+    file = Path(path)
+    if not file.exists():
         return spark.createDataFrame([], MANIFEST).select(F.explode("pages").alias("p")).select("p.*")
+    if file.name[0] in "_.":
+        one = spark.createDataFrame([(file.read_text(encoding="utf-8"),)], "doc string")
+        return one.select(F.from_json("doc", MANIFEST).alias("m")).select(F.explode("m.pages").alias("p")).select("p.*")
     return spark.read.schema(MANIFEST).option("multiLine", True).json(path).select(F.explode("pages").alias("p")).select("p.*")
 
 
@@ -82,7 +89,7 @@ def scan_html(spark: SparkSession, folder: str) -> DataFrame:
     """(url, http_status, content) of every HTML file in a folder, in name order by ``url``; undecodable bytes are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
     stem = F.regexp_extract("path", r"([^/]+)\.html$", 1)
-    return files.select(F.concat(F.lit("store:"), stem).alias("url"), F.lit(200).alias("http_status"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.concat(F.lit("store:"), stem).alias("url"), F.lit(200).alias("http_status"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def best_records(records: DataFrame) -> DataFrame:
