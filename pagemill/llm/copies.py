@@ -7,18 +7,21 @@ of punctuation alone) has no key, so such a record has no copies; an absent url
 empty text, which equals other empty urls only.
 
 The keys are counted exactly with partial (map-side) counts. Keys of more than ``hot``
-records are few: at most records / hot. Their records are aggregated on two levels, by
-(key, salt) and then by key; all others go through a single shuffle. The representative
-is the smallest identifier, so ties and repeated rows cannot change the result.
+records are few, and only the MOST_HOT largest count as hot, so what is broadcast is bounded however large the
+table. The records of hot keys are aggregated on two levels, by (key, salt) and then by key;
+all others go through a single shuffle. The representative is the smallest identifier, so
+ties cannot change the result; an identifier given twice yields its pair twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
+#: Hot keys at most; beyond them a key has at most records / MOST_HOT records.
+MOST_HOT = 100_000
 _NOT_TEXT = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -48,12 +51,12 @@ def keyed(records: DataFrame, id_col: str = "record_id", url: str = "url", conte
 
 
 def hot_keys(keys: DataFrame, hot: int) -> DataFrame:
-    """Keys of more than ``hot`` records, counted exactly; at most rows / hot of them."""
-    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
+    """Keys of more than ``hot`` records, counted exactly, the largest MOST_HOT of them."""
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(MOST_HOT).select("key")
 
 
 def _split(keys: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    found = checkpoint(hot_keys(keys, hot))  # at most rows / hot digests of 16 bytes
+    found = checkpoint(hot_keys(keys, hot))  # at most MOST_HOT digests of 16 bytes
     cold = keys.join(F.broadcast(found), "key", "left_anti")
     return keys.join(F.broadcast(found), "key", "left_semi"), cold
 
@@ -76,14 +79,12 @@ def collapse(records: DataFrame, hot: int = 100_000, salts: int = 64, **columns:
 def copies(records: DataFrame, hot: int = 100_000, salts: int = 64, **columns: str) -> DataFrame:
     """(record_id_a, record_id_b): representative and every other record of its group.
 
-    A cold group is ranked within its one shuffle; the representatives of the hot keys,
-    of which there are at most rows / hot, are joined back to their records unshuffled.
+    A cold group streams through its one shuffle, sorted, behind its first identifier; the
+    representatives of the hot keys, at most MOST_HOT, are joined back to their records unshuffled.
     """
     keys = keyed(records, columns.get("id_col", "record_id"), columns.get("url", "url"), columns.get("content", "content_hash"))
     warm, cold = _split(keys, hot)
-    # rows of a cold key: at most ``hot``, kept as numbers only
-    one = cold.groupBy("key").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
-    one = one.select("a", F.explode("ids").alias("b"))
+    one = cold.select(F.first("id").over(Window.partitionBy("key").orderBy("id")).alias("a"), F.col("id").alias("b"))
     salted = warm.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("id"))
     reps = salted.groupBy("key").agg(F.min("id").alias("a"))
     two = warm.join(F.broadcast(reps), "key").select("a", F.col("id").alias("b"))

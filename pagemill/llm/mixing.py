@@ -30,6 +30,8 @@ from ..session import checkpoint, spread
 
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Output shards at most, unless their size is given.
+MOST_SHARDS = 10_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _ENCODERS: dict[str, object] = {}
@@ -177,14 +179,15 @@ def _slots(blocks: dict[str, int], seed: int):
     return run
 
 
-def plan(documents: DataFrame, targets: DataFrame, length: int = 256, slots: int | None = None, shard_slots: int = 4096, seed: int = 1, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int]]]:
+def plan(documents: DataFrame, targets: DataFrame, length: int = 256, slots: int | None = None, shard_slots: int | None = None, seed: int = 1, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int]]]:
     """Segments, slots and quotas of a mixture."""
     spark: SparkSession = documents.sparkSession
     counts = checkpoint(token_counts(documents, targets, path).where("tokens > 0"))
     wanted = {r[0]: (max(0.0, r[1] or 0.0), r[2] if r[2] is not None else 1) for r in targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).collect()}
     held = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("tokens")).collect()}  # one row a target
     quota = quotas(held, wanted, length, slots)
-    rows = draw(quota, shard_slots, seed)
+    total = sum(q[1] for q in quota.values())
+    rows = draw(quota, shard_slots or max(4096, -(-total // MOST_SHARDS)), seed)  # at most MOST_SHARDS x targets rows
     schema = "shard long, source string, first_slot long, slots long, place long, width long"
     drawn = spark.createDataFrame(rows, schema)
     placed = offsets(counts)

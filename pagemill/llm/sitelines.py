@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, spread
 from .htmlblocks import key64, text_blocks
+from .meeting import meet
 
 #: Fixed values of the problem.
 MIN_FILES, MIN_SHARE = 5, 0.12
@@ -40,28 +41,22 @@ def lines(pages: DataFrame, path: str = "raw_html_path", site: str = "site_name"
 
 
 def support(found: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site, key, files, least): nodes whose support reaches the site's least number of files."""
+    """(site, key, files, total, least): nodes whose support reaches the site's least number of files."""
     sites = found.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
-    least = sites.select("site", F.greatest(F.lit(float(min_files)), F.col("total") * F.lit(min_share) - F.lit(1e-9)).alias("least"))
+    least = sites.select("site", "total", F.greatest(F.lit(float(min_files)), F.col("total") * F.lit(min_share) - F.lit(1e-9)).alias("least"))
     nodes = found.select("site", F.explode(F.array_distinct("keys")).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("files"))
     return nodes.where(F.col("files") >= min_files).join(least, "site").where(F.col("files") >= F.col("least"))
 
 
 def by_site(nodes: DataFrame) -> DataFrame:
-    """(site, kept, least): a site's kept lines as one array, at most (lines per file) / share of them."""
-    return nodes.groupBy("site").agg(F.collect_set("key").alias("kept"), F.first("least").alias("least"))
-
-
-def attach(found: DataFrame, per_site: DataFrame, salts: int = 16) -> DataFrame:
-    """Each file with its site's array; sites are replicated over salts so that no site is one task's."""
-    spread = per_site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return found.withColumn("salt", F.pmod(F.xxhash64("path", F.size("keys")), F.lit(salts)).cast("int")).join(spread, ["site", "salt"]).drop("salt")
+    """(site, total, kept, least): a site's kept lines as one array, at most (lines per file) / share of them."""
+    return nodes.groupBy("site").agg(F.first("total").alias("total"), F.collect_set("key").alias("kept"), F.first("least").alias("least"))
 
 
 def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
-        for site, kept, edges in zip(b.column("site").to_pylist(), b.column("kept").to_pylist(), b.column("edges").to_pylist()):
+        for site, total, kept, edges in zip(*(b.column(c).to_pylist() for c in ("site", "total", "kept", "edges"))):
             root = {k: k for k in kept}
 
             def find(k: int) -> int:
@@ -74,37 +69,39 @@ def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = find(e["a"]), find(e["b"])
                 if x != y:
                     root[max(x, y)] = min(x, y)
-            out += [(site, k, find(k)) for k in kept]
-        s, k, c = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["site", "key", "block"])
+            out += [(site, total, k, find(k)) for k in kept]
+        s, t, k, c = zip(*out) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(t, pa.int64()), pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["site", "total", "key", "block"])
 
 
-def boilerplate_blocks(found: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site, key, block): every kept line with the component it belongs to (its smallest key)."""
+def boilerplate_blocks(found: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, **limits: int) -> DataFrame:
+    """(site, total, key, block): every kept line with the component it belongs to (its smallest key)."""
     nodes = checkpoint(support(found, min_files, min_share))
     per_site = by_site(nodes)
-    runs = attach(found, per_site).select("site", "least", "keys", "kept")
-    pairs = F.array_distinct(
-        F.filter(
-            F.zip_with(F.slice("keys", 1, F.greatest(F.size("keys") - 1, F.lit(0))), F.slice("keys", 2, F.greatest(F.size("keys") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            lambda p: F.array_contains("kept", p["a"]) & F.array_contains("kept", p["b"]),
-        )
-    )
+    runs = meet(found, per_site, "site", ["path", "keys"], 8 * nodes.count(), **limits).where("kept IS NOT NULL")
+    n = F.greatest(F.size("keys") - 1, F.lit(0))
+    next_to = F.zip_with(F.slice("keys", 1, n), F.slice("keys", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.array_distinct(F.filter(next_to, lambda p: F.array_contains("kept", p["a"]) & F.array_contains("kept", p["b"])))
     edges = runs.select("site", "least", F.explode(pairs).alias("e")).groupBy("site", "e").agg(F.count(F.lit(1)).alias("files"), F.first("least").alias("least"))
     edges = edges.where(F.col("files") >= F.col("least")).groupBy("site").agg(F.collect_list("e").alias("edges"))
-    return per_site.join(edges, "site", "left").select("site", "kept", "edges").mapInArrow(_components, "site string, key long, block long")
+    return per_site.join(edges, "site", "left").select("site", "total", "kept", "edges").mapInArrow(_components, "site string, total long, key long, block long")
+
+
+def _kept(found: DataFrame, min_files: int, min_share: float, **limits: int) -> tuple[DataFrame, int]:
+    """(site, total, kept) of the components' lines, and the bytes they hold together."""
+    blocks = checkpoint(boilerplate_blocks(found, min_files, min_share, **limits))
+    return blocks.groupBy("site").agg(F.first("total").alias("total"), F.collect_set("key").alias("kept")), 8 * blocks.count()
 
 
 def hex_key(c) -> object:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def excessive(pages: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> DataFrame:
+def excessive(pages: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, **limits: int) -> DataFrame:
     """(raw_html_path, line_key): each file with each distinct line to be deleted from it."""
-    found = checkpoint(lines(pages))  # 8 bytes a line; parsed once, read by both passes
-    blocks = boilerplate_blocks(found, min_files, min_share)
-    per_site = blocks.groupBy("site").agg(F.collect_set("key").alias("kept"))
-    hit = attach(found, per_site).select("path", F.explode(F.array_intersect("keys", "kept")).alias("key"))
+    found = checkpoint(lines(pages))  # 8 bytes a line; parsed once, read by all passes
+    per_site, held = _kept(found, min_files, min_share, **limits)
+    hit = meet(found, per_site, "site", ["path", "keys"], held, **limits).select("path", F.explode(F.array_intersect("keys", "kept")).alias("key"))
     return hit.select(F.col("path").alias("raw_html_path"), hex_key(F.col("key")).alias("line_key"))
 
 
@@ -120,11 +117,10 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["raw_html_path", "text", "lines_removed"])
 
 
-def without_excessive(pages: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, salts: int = 16) -> DataFrame:
+def without_excessive(pages: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, **limits: int) -> DataFrame:
     """(raw_html_path, text, lines_removed): every page's text without its site's repeated lines."""
     found = checkpoint(lines(pages))
-    per_site = boilerplate_blocks(found, min_files, min_share).groupBy("site").agg(F.collect_set("key").alias("kept"))
-    spread = per_site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    per_site, held = _kept(found, min_files, min_share, **limits)
     p = pages.select(F.col("raw_html_path").alias("path"), F.coalesce("site_name", F.lit("")).alias("site"), "html")
-    p = p.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
-    return p.join(spread, ["site", "salt"], "left").select("path", "html", "kept").mapInArrow(_delete, "raw_html_path string, text string, lines_removed long")
+    met = meet(spread(p), per_site, "site", ["path", "html"], held, **limits)
+    return met.select("path", "html", "kept").mapInArrow(_delete, "raw_html_path string, text string, lines_removed long")

@@ -29,8 +29,9 @@ def brute(rows):
 
 def test_excessive_lines_match_brute_force(spark):
     df = spark.createDataFrame(sample(), SCHEMA)
-    got = [tuple(r) for r in sitelines.excessive(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(sample())
+    for limits in ({}, {"limit": 0, "per_salt": 7}):
+        got = [tuple(r) for r in sitelines.excessive(df, **limits).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(sample())
 
 
 def test_neighbours_form_one_block_and_are_deleted(spark):
