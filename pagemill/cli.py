@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from . import __version__
 from .model import Options
 from .plans import engine, output
 from .session import local_session, ship
-from .sources import config, http, index, store
+from .sources import chat, config, http, index, store
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -23,6 +24,8 @@ def _parser() -> argparse.ArgumentParser:
     feed.add_argument("url")
     feed.add_argument("--discover-only", action="store_true")
     feed.add_argument("--limit", type=int, default=25, help="pages shown by --discover-only")
+    feed.add_argument("--allow", action="append", help="pattern of addresses to keep; /docs/ if none is given")
+    feed.add_argument("--deny", action="append", default=[], help="pattern of addresses to leave out")
     spin = sub.add_parser("spin", help="process a folder of stored pages again")
     spin.add_argument("folder")
     spin.add_argument("--out", default="out")
@@ -38,8 +41,9 @@ def _feed(spark, args, options: Options, transport: http.Transport) -> int:
     get = lambda u: transport("GET", u, {}, http.GET_SECONDS).body.decode("utf-8", "replace")
     site = spark.range(1).select(F.lit(args.url).alias("url")).select(F.regexp_extract("url", r"//([^/]+)", 1)).first()[0]
     empty = "site_name string, url string, pos long"
-    a = index.llms(spark.createDataFrame([(site, get(lt))], "site_name string, text string")) if lt else spark.createDataFrame([], empty)
-    b = index.sitemap(spark.createDataFrame([(site, get(sm))], "site_name string, xml string")) if sm else spark.createDataFrame([], empty)
+    rules = spark.createDataFrame([(site, args.allow or ["/docs/"], args.deny)], "site_name string, allow_patterns array<string>, deny_patterns array<string>")
+    a = index.llms(spark.createDataFrame([(site, get(lt))], "site_name string, text string"), rules) if lt else spark.createDataFrame([], empty)
+    b = index.sitemap(spark.createDataFrame([(site, get(sm))], "site_name string, xml string"), rules) if sm else spark.createDataFrame([], empty)
     pages = index.merged(a, b).orderBy("pos")
     if args.discover_only:
         for r in pages.limit(args.limit).toLocalIterator():
@@ -51,8 +55,8 @@ def _feed(spark, args, options: Options, transport: http.Transport) -> int:
 
 
 def _process(records, options: Options) -> int:
-    results = engine.run(records, options).persist()
-    output.write_files(output.documents(results, options.output_dir, F.current_timestamp())).count()
+    results = engine.run(records, options, chat.chat(options.llm, max_tokens=512) if options.llm else None).persist()
+    output.write_files(output.documents(results, options.output_dir, F.current_timestamp()), str(Path.cwd())).count()
     for r in output.summary(results).orderBy("site", "bucket").toLocalIterator():
         print(f"{r.site}\t{r.bucket}\t{r.pages}")
     results.unpersist()
@@ -61,6 +65,8 @@ def _process(records, options: Options) -> int:
 
 def main(argv: Sequence[str] | None = None, transport: http.Transport = http.urllib_transport) -> int:
     args = _parser().parse_args(argv)
+    if "folder" in args and "://" not in args.folder:
+        args.folder = str(Path(args.folder).resolve())
     options = config.load(args.config).options
     if args.command == "store" and args.action == "clean":
         print(store.clean(args.folder, args.force))

@@ -202,3 +202,45 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.url for r in out.collect()) == ["https://h.example/a", "https://h.example/b"]
+
+
+def test_chat():
+    from pagemill.model import LLMConfig
+    from pagemill.sources import chat
+
+    sent = []
+
+    def post(url, headers, body, seconds):
+        sent.append((url, headers["Authorization"], json.loads(body)["messages"][1]["content"]))
+        return json.dumps({"choices": [{"message": {"content": ' {"passed": true} '}}]}).encode()
+
+    assert chat.chat(LLMConfig()) is None
+    ask = chat.chat(LLMConfig("https://m.example/v1/", "k", "m"), post=post)
+    assert quality.judge(ask)("page")["passed"] and sent == [("https://m.example/v1/chat/completions", "Bearer k", "page")]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from pagemill import cli
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store/a.html").write_text(PAGE)
+    monkeypatch.setattr(cli, "local_session", lambda *a: spark)
+    assert cli.main(["spin", "store", "--out", "o"]) == 0
+    assert "passed\t1" in capsys.readouterr().out and list((tmp_path / "o").rglob("*.md"))
+    cli.main(["store", "status", "store"])
+    assert "'files': 1" in capsys.readouterr().out
+    cli.main(["store", "list", "store"])
+    assert "store:a" in capsys.readouterr().out
+
+    def transport(method, url, headers, seconds):
+        if url.endswith("/llms.txt"):
+            return http.Response(200, b"https://h.example/docs/a\nhttps://h.example/blog/b\n")
+        return http.Response(200 if "/docs/" in url else 404, PAGE.encode())
+
+    cli.main(["feed", "https://h.example/", "--discover-only"], transport)
+    assert capsys.readouterr().out.split() == ["https://h.example/docs/a"]
+    cli.main(["feed", "https://h.example/"], transport)
+    assert (tmp_path / "out/h.example/docs/a.md").exists()
+    cli.main(["store", "clean", "store", "--force"])
+    assert not (tmp_path / "store/a.html").exists()
