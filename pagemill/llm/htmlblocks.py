@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+import struct
 
 import xxhash
 
@@ -35,6 +36,9 @@ def _skipped(m: re.Match) -> str:
     return "<p>" if m[0][1] not in "!?" else ""
 
 
+_KEY = struct.Struct(">q8x").unpack
+
+
 def norm(text: str) -> str:
     """Lower case, every run of white space one blank, trimmed."""
     return " ".join(text.lower().split())
@@ -42,7 +46,12 @@ def norm(text: str) -> str:
 
 def key64(text: str) -> int:
     """The first 16 hex digits of the MD5 of norm(text), as a signed 64-bit number."""
-    return int.from_bytes(hashlib.md5(norm(text).encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True)
+    return norm_key64(norm(text))
+
+
+def norm_key64(normal: str) -> int:
+    """key64 of a text that is in normal form already."""
+    return _KEY(hashlib.md5(normal.encode("utf-8", "surrogatepass")).digest())[0]
 
 
 def hash64(token: str) -> int:
@@ -86,14 +95,12 @@ _SIBLINGS = {
 class Block:
     """A text block: text, element that holds it, and the share of it inside links."""
 
-    __slots__ = ("text", "node", "linked", "chars", "first", "inner")
-
-    def __init__(self, text: str, node: int, linked: int, chars: int, first: int, inner: tuple):
-        self.text, self.node, self.linked, self.chars, self.first, self.inner = text, node, linked, chars, first, inner
+    __slots__ = ("text", "node", "linked", "chars", "inner", "norm", "full_link")
 
-    @property
-    def full_link(self) -> bool:
-        return self.chars > 0 and self.linked >= self.chars
+    def __init__(self, text: str, node: int, linked: int, chars: int, inner: list):
+        self.text, self.node, self.linked, self.chars, self.inner = text, node, linked, chars, inner
+        self.norm = " ".join(text.lower().split())
+        self.full_link = 0 < chars <= linked
 
 
 class Node:
@@ -122,7 +129,7 @@ def _add(blocks: list[Block], buf: list[str], node: int, linked: int, inner: lis
     raw = "".join(buf) if len(buf) > 1 else buf[0]
     text = _html.unescape(raw) if "&" in raw else raw
     if text and not text.isspace():
-        blocks.append(Block(text, node, linked, _dense(raw), 0, tuple(inner)))
+        blocks.append(Block(text, node, linked, _dense(raw), inner))
 
 
 def parse(page: str | None) -> tuple[list[Node], list[Block]]:

@@ -81,9 +81,16 @@ _CANON = r"""
     regexp_replace(lower(coalesce(content_hash,'')), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS c
   FROM page_records"""
 
-_WORDS = r"""
-  SELECT {id} AS id, u.w AS w, u.i AS i FROM (SELECT {id}, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS ws FROM {t} WHERE text IS NOT NULL),
-  LATERAL (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS i) u"""
+# Text blocks in SQL: skipped elements separate, inline tags vanish, br is a blank, references are decoded.
+_SKIPPED = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("head", "script", "style", "noscript", "template", "svg"))
+_INLINE = "a|abbr|b|code|em|i|kbd|mark|small|span|strong|sub|sup|u|button|label|img"
+_WS = r"[\s\x0b\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DECODED = "array_to_string(list_transform(string_split(part, '&#'), lambda x, k: CASE WHEN k > 1 AND regexp_matches(x, '^[0-9]+;') THEN chr(regexp_extract(x, '^([0-9]+);', 1)::INT) || regexp_replace(x, '^[0-9]+;', '') WHEN k > 1 THEN '&#' || x ELSE x END), '')"
+for _name, _char in (("nbsp", "chr(160)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("copy", "chr(169)"), ("laquo", "chr(171)"), ("raquo", "chr(187)"), ("amp", "'&'")):
+    _DECODED = f"replace({_DECODED}, '&{_name};', {_char})"
+_BLOCKS = rf"""t AS (SELECT raw_html_path, site_name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<[!?][^>]*>', '', 'g'), '(?is){_SKIPPED}', '<p>', 'g'), '(?i)</?({_INLINE})(\s[^>]*|/)?>', '', 'g'), '(?i)</?br(\s[^>]*|/)?>', ' ', 'g') AS h FROM raw_html),
+p AS (SELECT raw_html_path, site_name, unnest(regexp_split_to_array(h, '</?[a-zA-Z][^>]*>')) AS part FROM t),
+l AS (SELECT DISTINCT raw_html_path, site_name, substr(md5(trim(regexp_replace(lower({_DECODED}), '{_WS}+', ' ', 'g'), ' ')), 1, 16) AS line_key FROM p WHERE trim(regexp_replace({_DECODED}, '{_WS}+', ' ', 'g'), ' ') <> '')"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,6 +100,9 @@ SELECT g.a AS record_id_a, k.record_id AS record_id_b FROM k JOIN g USING (u, c)
         "p1_collapsed": f"""WITH k AS ({_CANON})
 SELECT min(record_id) AS record_id, count(*) AS copies FROM k WHERE c <> '' GROUP BY u, c
 UNION ALL SELECT record_id, 1 FROM k WHERE c = ''""",
+        "p4_found": f"""WITH {_BLOCKS}, n AS (SELECT site_name, count(*) AS total FROM raw_html GROUP BY 1),
+k AS (SELECT site_name, line_key FROM l JOIN n USING (site_name) GROUP BY site_name, line_key, total HAVING count(*) >= 5 AND count(*) >= 0.12 * total)
+SELECT raw_html_path, line_key FROM l JOIN k USING (site_name, line_key)""",
         "p6_found": r"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
