@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LINK, count_of, strip_markdown
-from ..model import ACTION, FALLBACK_PHRASES, GRAY_HIGH, GRAY_LOW, LINK_DENSITY, LINKS_PER_1K, LLM_CAP, MIN_LENGTH, NOISE_PHRASES, THRESHOLD
+from ..model import ACTION, GRAY_HIGH, GRAY_LOW, LINK_DENSITY, LINKS_PER_1K, LLM_CAP, MIN_LENGTH, NOISE_PHRASES, THRESHOLD
 
 #: Repairs by the check that failed, in the order they are tried: (checks, step, action, what it means).
 DIAGNOSES = (
@@ -303,4 +303,4 @@ def judged(df: DataFrame, ask_table: Callable[[DataFrame], DataFrame], key: str)
     return df.join(verdicts, key, "left").withColumn("passed", F.col("passed") | F.coalesce("llm_passed", F.lit(False)))
 
 
-__all__ = ["CHECKS", "DIAGNOSES", "FALLBACK_PHRASES", "evaluate", "evaluated", "judge", "judged", "parse_reply", "parse_verdict"]
+__all__ = ["CHECKS", "DIAGNOSES", "evaluate", "evaluated", "judge", "judged", "parse_reply", "parse_verdict"]
