@@ -70,6 +70,8 @@ _FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]\n]*\])?\
 _INDENTED = re.compile(r"^(?:    |\t).*$", re.M)
 _INDENT_REGION = re.compile(r"(?:(?<=\n\n)|(?<=\n[ \t]\n)|\A)(?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n[ \t]*)*(?:\n|\Z))+", re.M)
 _TRAIL = re.compile(r"(?:(?:^|\s+)#+\s*|\s*\{[#.:][^{}]*\}\s*)+$")
+_QUOTE_MARK = re.compile(r"^ {0,3}(?:> ?)+", re.M)
+_TABLE_RULE = re.compile(r"^[ \t]*(?:\{\|.*|\|[-}].*|\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t:-]*)$", re.M)
 _SETEXT_NO = re.compile(r"\s*(?:[-+*]|\d+[.)])\s")
 _FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]\n]*\])?\{[^}\n]*\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*")
 _MD_SIGNS = re.compile(r"^#{2,6} \S|^.*\S\n(?:-{3,}|={3,})[ \t]*$|\]\([^)\n]*\)|\*\*\S|^[-+] \S|^\d+\. \S|^\$\$|`\S", re.M)
@@ -207,6 +209,9 @@ class Model:
             text = re.sub(r"^[ \t]*\{%.*?%\}[ \t]*$", lambda m: _blank(m[0]), text, flags=re.M)
         if "[[" in text:
             text = re.sub(r"^\[\[[^\[\]|]*:[^\[\]]*\]\][ \t]*$", lambda m: _blank(m[0]), text, flags=re.M)
+        if ">" in text or "|" in text:
+            text = _QUOTE_MARK.sub(lambda m: _blank(m[0]), text)
+            text = _TABLE_RULE.sub(lambda m: _blank(m[0]), text)
         if d[2]:
             text = _FRAME.sub(lambda m: _blank(m[0]), text)
         for m in re.finditer(r"\S.*(?:\n.*\S.*)*", text):
