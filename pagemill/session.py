@@ -56,8 +56,9 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
     return df.checkpoint(eager)
 
 
