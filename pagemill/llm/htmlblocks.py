@@ -95,13 +95,20 @@ _SIBLINGS = {
 class Block:
     """A text block: text, element that holds it, and the share of it inside links."""
 
-    __slots__ = ("text", "node", "linked", "chars", "inner", "norm", "full_link")
+    __slots__ = ("text", "node", "linked", "chars", "inner", "_norm", "full_link")
 
     def __init__(self, text: str, node: int, linked: int, chars: int, inner: list):
         self.text, self.node, self.linked, self.chars, self.inner = text, node, linked, chars, inner
-        self.norm = " ".join(text.lower().split())
+        self._norm: str | None = None
         self.full_link = 0 < chars <= linked
 
+    @property
+    def norm(self) -> str:
+        n = self._norm
+        if n is None:
+            n = self._norm = " ".join(self.text.lower().split())
+        return n
+
 
 class Node:
     __slots__ = ("tag", "cls", "parent", "depth", "kids", "index")

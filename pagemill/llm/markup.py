@@ -68,7 +68,7 @@ _FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]\n]*\])?\
 
 
 _INDENTED = re.compile(r"^(?:    |\t).*$", re.M)
-_INDENT_REGION = re.compile(r"(?:(?<=\n\n)|(?<=\n[ \t]\n)|\A)(?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n[ \t]*)*(?:\n|\Z))+", re.M)
+_INDENT_REGION = re.compile(r"^(?: {4}|\t)[ \t]*\S[^\n]*(?:\n+(?:[ \t]*\n)*(?: {4}|\t)[ \t]*\S[^\n]*)*", re.M)
 _TRAIL = re.compile(r"(?:(?:^|\s+)#+\s*|\s*\{[#.:][^{}]*\}\s*)+$")
 _QUOTE_MARK = re.compile(r"^ {0,3}(?:> ?)+", re.M)
 _TABLE_RULE = re.compile(r"^[ \t]*(?:\{\|.*|\|[-}].*|\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t:-]*)$", re.M)
@@ -170,8 +170,8 @@ class Model:
             return True
         return self.trees.predict(row) == kind
 
-    def elements(self, body: str | None) -> list[tuple[int, str, str]]:
-        """(position, kind, text) of headings, items, code, formulas and the text between them."""
+    def elements(self, body: str | None, between: bool = True) -> list[tuple[int, str, str]]:
+        """(position, kind, text) of headings, items, code, formulas and, if asked for, the text between them."""
         if not body or body.isspace():
             return []
         body = body.replace("\r\n", "\n").replace("\r", "\n")
@@ -205,12 +205,19 @@ class Model:
         text = self._html(text, d, out)
         text = self._lines(text, d, out)
         text = self._formulas(text, d, out)
+        if between:
+            self._between(text, d, out)
+        out.sort(key=lambda e: e[0])
+        return out
+
+    def _between(self, text: str, d: tuple, out: list) -> None:
         if "{%" in text:
             text = re.sub(r"^[ \t]*\{%.*?%\}[ \t]*$", lambda m: _blank(m[0]), text, flags=re.M)
         if "[[" in text:
             text = re.sub(r"^\[\[[^\[\]|]*:[^\[\]]*\]\][ \t]*$", lambda m: _blank(m[0]), text, flags=re.M)
-        if ">" in text or "|" in text:
+        if "\n>" in text or text.startswith(">"):
             text = _QUOTE_MARK.sub(lambda m: _blank(m[0]), text)
+        if "|-" in text or "-|" in text or "- |" in text or "{|" in text:
             text = _TABLE_RULE.sub(lambda m: _blank(m[0]), text)
         if d[2]:
             text = _FRAME.sub(lambda m: _blank(m[0]), text)
@@ -218,8 +225,6 @@ class Model:
             words = clean(m[0], d)
             if any(c.isalnum() for c in words):
                 out.append((m.start(), "text", words))
-        out.sort(key=lambda e: e[0])
-        return out
 
     @staticmethod
     def _code(m: re.Match) -> tuple[str, str]:
@@ -236,14 +241,16 @@ class Model:
         """Regions of four blanks or a tab after an empty line."""
 
         def take(m: re.Match) -> str:
-            region = m[0].rstrip()
-            content = "\n".join(x[1:] if x[:1] == "\t" else x[4:] for x in region.split("\n"))
+            i = m.start()
+            if i and text[text.rfind("\n", 0, i - 1) + 1 : i - 1].strip():
+                return m[0]
+            content = "\n".join(x[1:] if x[:1] == "\t" else x[4:] for x in m[0].rstrip().split("\n"))
             if self.decide("indent", "code", content, features("indent", content, d)):
                 out.append((m.start(), "code", content))
                 return _blank(m[0])
             return m[0]
 
-        return _INDENT_REGION.sub(take, text) if "    " in text or "\t" in text else text
+        return _INDENT_REGION.sub(take, text) if "\n    " in text or "\t" in text or text.startswith("    ") else text
 
     def _html(self, text: str, d: tuple, out: list) -> str:
         if "<h" not in text and "<li" not in text and "<H" not in text and "<LI" not in text:
@@ -352,7 +359,7 @@ class Model:
             text = text[:a] + _blank(text[a:b]) + text[b:]
         return text
 
-    def page_elements(self, page: str | None, site: dict) -> list[tuple[int, str, str]]:
+    def page_elements(self, page: str | None, site: dict, between: bool = True) -> list[tuple[int, str, str]]:
         """The same for the main body of a stored page, over its element tree."""
         nodes, blocks = parse(page)
         chrome = template.is_chrome(nodes, blocks, site)
@@ -380,6 +387,8 @@ class Model:
             if form and not self.decide(form, kind, words, features(form, b.text, d, attrs=attrs, depth=1, linked=linked)):
                 kind = "text"
             self._formulas(b.text, d, out, k)
+            if kind == "text" and not between:
+                continue
             if kind != "text" and b.node in joined and nodes[b.node].kids == 0:
                 i = joined[b.node]
                 out[i] = (out[i][0], kind, f"{out[i][2]} {words}")
@@ -510,7 +519,7 @@ def fit(documents: int = 1200, seed: int = 7) -> Model:
 def _bodies(model: Model, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _emit(b.column("path").to_pylist(), (model.elements(x) for x in b.column("body").to_pylist()), text)
+            yield _emit(b.column("path").to_pylist(), (model.elements(x, text) for x in b.column("body").to_pylist()), text)
 
     return run
 
@@ -519,7 +528,7 @@ def _pages(model: Model, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            yield _emit(b.column("path").to_pylist(), (model.page_elements(h, s) for h, s in zip(b.column("html").to_pylist(), template.Sites(b, held))), text)
+            yield _emit(b.column("path").to_pylist(), (model.page_elements(h, s, text) for h, s in zip(b.column("html").to_pylist(), template.Sites(b, held))), text)
 
     return run
 
