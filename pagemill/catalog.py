@@ -180,9 +180,9 @@ _LOOKUP = """SELECT r.*, CASE WHEN r.source = 'markdown' THEN m.body ELSE h.html
 LEFT JOIN raw_md m ON r.source = 'markdown' AND r.raw_md_path = m.raw_md_path LEFT JOIN raw_html h ON r.source IS DISTINCT FROM 'markdown' AND r.raw_html_path = h.raw_html_path"""
 
 
-@query(f"SELECT record_id, CASE WHEN content IS NULL THEN 'failed' ELSE status END AS status, length(content) AS chars FROM ({_LOOKUP})")
+@query(f"SELECT record_id, CASE WHEN content IS NULL THEN 'failed' ELSE status END AS status, coalesce(length(content), 0) AS chars FROM ({_LOOKUP})")
 def raw_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return _looked_up(spark, d).select("record_id", "status", F.length("content").cast("long").alias("chars"))
+    return _looked_up(spark, d).select("record_id", "status", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("chars"))
 
 
 @query(
@@ -527,11 +527,24 @@ def normalize_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "raw_html").select(F.col("raw_html_path").alias("url"), F.col("html").alias("content"), F.lit("html").alias("source"), F.lit("").alias("framework"))
+    return _cleaned(table(spark, d, "raw_html"))
+
+
+def _cleaned(raw_html: DataFrame) -> DataFrame:
+    pages = raw_html.select(F.col("raw_html_path").alias("url"), F.col("html").alias("content"), F.lit("html").alias("source"), F.lit("").alias("framework"))
     done = engine.run(pages, Options(precheck=False, max_retries=0))
     return done.select(F.col("url").alias("raw_html_path"), "framework", "content", "steps", "status", F.col("report.total_score").alias("score"))
 
 
+@query("SELECT raw_html_path, 2 * (length(html) - length(replace(html, '<pre', ''))) // 4 AS fences FROM raw_html WHERE NOT contains(html, '<table width')")
+def clean_code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Code survives the cleaning: two fences for every block of the raw page.
+
+    Pages laid out as a table are left to the other queries: a block in a cell becomes inline code.
+    """
+    return _cleaned(table(spark, d, "raw_html").where(~F.contains("html", F.lit("<table width")))).select("raw_html_path", text.count_of(F.col("content"), "```").alias("fences"))
+
+
 @query()
 def process_records(spark: SparkSession, d: str) -> DataFrame:
     """The whole lifecycle: best records, raw lookup, precheck, cleaning with retry, decision."""
@@ -564,15 +577,15 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [quality.parse_verdict(x) for x in b.column("reply").to_pylist()]
         trees = [nav.parse_tree(x) for x in b.column("reply").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([v["passed"] if v else None for v in out], pa.bool_()), pa.array([v["score"] if v else None for v in out], pa.float64()), pa.array([t is not None for t in trees], pa.bool_())], ["name", "passed", "score", "is_tree"])
+        yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([str(v["passed"]).lower() if v else "none" for v in out], pa.string()), pa.array([v["score"] if v else -1.0 for v in out], pa.float64()), pa.array([t is not None for t in trees], pa.bool_())], ["name", "passed", "score", "is_tree"])
 
 
-@query("SELECT name, passed, score, is_tree FROM (VALUES " + ", ".join(f"('{n}', {'NULL' if p is None else p}::BOOLEAN, {'NULL' if s is None else s}::DOUBLE, {t})" for n, _, p, s, t in LLM_REPLIES) + ") t(name, passed, score, is_tree)")
+@query("SELECT name, passed, score, is_tree FROM (VALUES " + ", ".join(f"('{n}', '{'none' if p is None else str(p).lower()}', {-1.0 if s is None else s}::DOUBLE, {t})" for n, _, p, s, t in LLM_REPLIES) + ") t(name, passed, score, is_tree)")
 def llm_json_repair(spark: SparkSession, d: str) -> DataFrame:
     from .session import ship
 
     ship(spark)
-    return spark.createDataFrame([(n, r) for n, r, *_ in LLM_REPLIES], "name string, reply string").mapInArrow(_verdicts, "name string, passed boolean, score double, is_tree boolean")
+    return spark.createDataFrame([(n, r) for n, r, *_ in LLM_REPLIES], "name string, reply string").mapInArrow(_verdicts, "name string, passed string, score double, is_tree boolean")
 
 
 def queries() -> dict[str, Query]:
