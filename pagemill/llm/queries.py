@@ -103,6 +103,12 @@ UNION ALL SELECT record_id, 1 FROM k WHERE c = ''""",
         "p4_found": f"""WITH {_BLOCKS}, n AS (SELECT site_name, count(*) AS total FROM raw_html GROUP BY 1),
 k AS (SELECT site_name, line_key FROM l JOIN n USING (site_name) GROUP BY site_name, line_key, total HAVING count(*) >= 5 AND count(*) >= 0.12 * total)
 SELECT raw_html_path, line_key FROM l JOIN k USING (site_name, line_key)""",
+        "p4_cleaned": f"""WITH {_BLOCKS}, n AS (SELECT site_name, count(*) AS total FROM raw_html GROUP BY 1),
+k AS (SELECT site_name, line_key FROM l JOIN n USING (site_name) GROUP BY site_name, line_key, total HAVING count(*) >= 5 AND count(*) >= 0.12 * total),
+o AS (SELECT raw_html_path, site_name, unnest(regexp_split_to_array(h, '</?[a-zA-Z][^>]*>')) AS part, generate_subscripts(regexp_split_to_array(h, '</?[a-zA-Z][^>]*>'), 1) AS pos FROM t),
+w AS (SELECT raw_html_path, site_name, pos, trim(regexp_replace({_DECODED}, '{_WS}+', ' ', 'g'), ' ') AS line FROM o),
+m AS (SELECT w.*, k.line_key IS NOT NULL AS bad FROM w LEFT JOIN k ON k.site_name = w.site_name AND k.line_key = substr(md5(lower(line)), 1, 16) WHERE line <> '')
+SELECT r.raw_html_path, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text, count(*) FILTER (bad) AS lines_removed FROM raw_html r LEFT JOIN m USING (raw_html_path) GROUP BY 1""",
         "p6_found": r"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
