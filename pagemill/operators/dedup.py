@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import urls
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
-    """One row per key, the first in order. A min over structs pre-aggregates before the shuffle, so hot keys stay cheap."""
-    best = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]))
-    return df.groupBy(*keys).agg(best.alias("b")).select(*keys, *[F.col(f"b.k{i}").alias(c) for i, c in enumerate(keep)])
-
-
 def endpoints(df: DataFrame, url: str = "url", order: str = "pos", by: tuple[str, ...] = ()) -> DataFrame:
     """A page and its Markdown endpoint are one: the bare address once, at its first place."""
     return df.where(F.col(url).isNotNull()).groupBy(*by, urls.bare(F.col(url)).alias(url)).agg(F.min(order).alias(order))
@@ -25,11 +19,15 @@ def record_rank(url: Column, source: Column) -> Column:
 
 
 def manifest(records: DataFrame, order: str = "record_id") -> DataFrame:
-    """Of the records of one page the best ranked, ties to the first; null addresses are one page."""
-    base = records.withColumn("page", urls.bare(F.col("url")))
-    rank = F.coalesce(record_rank(F.col("url"), F.col("source")), F.lit(0))
-    kept = first_by(base, ["page"], [-rank, F.col(order)], [order])
-    return kept.select("page", order)
+    """Of the records of one page the best ranked, ties to the first; null addresses are one page.
+
+    Rank and order (not negative, under 2^60) are packed into one number, whose minimum is
+    kept by a hash aggregation where a struct would be sorted.
+    """
+    rank = F.coalesce(record_rank(F.col("url"), F.col("source")), F.lit(0)).cast("long")
+    packed = F.shiftleft(F.lit(2).cast("long") - rank, 60) + F.col(order)
+    kept = records.select(urls.bare(F.col("url")).alias("page"), packed.alias("at")).groupBy("page").agg(F.min("at").alias("at"))
+    return kept.select("page", F.col("at").bitwiseAND(F.lit((1 << 60) - 1)).alias(order))
 
 
 def by_hash(df: DataFrame, key: str, content: Column) -> DataFrame:

@@ -19,6 +19,8 @@ from ..operators.clean import run_chain
 from ..operators.detect import framework_of
 from ..session import spread
 
+SKIPPED = "skipped_low_quality"
+_INPUT = ("content_in", "source", "framework_in", "low_in")
 RESULT = "framework string, content string, steps array<string>, retry_count int, report {report}, error string".format(report=REPORT.simpleString())
 
 
@@ -60,9 +62,11 @@ def _stage(o: Options, ask, extractor):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns: dict[str, list] = {k: [] for k in ("framework", "content", "steps", "retry_count", "report", "error")}
-            for body, source, name in zip(b.column("content_in").to_pylist(), b.column("source").to_pylist(), b.column("framework_in").to_pylist()):
+            for body, source, name, low in zip(*(b.column(c).to_pylist() for c in _INPUT)):
                 row: tuple = (name, None, [], 0, None, "no content")
-                if body is not None:
+                if low:
+                    row = (name or "", "", [SKIPPED], 0, None, None)
+                elif body is not None:
                     try:
                         name = name or framework_of(body)
                         work = process_markdown if source == "markdown" else process_html
@@ -92,7 +96,7 @@ def _batch(b: pa.RecordBatch, columns: dict[str, list]) -> pa.RecordBatch:
         pa.array(columns["framework"], pa.string()), pa.array(columns["content"], pa.string()), pa.array(columns["steps"], pa.list_(pa.string())),
         pa.array(columns["retry_count"], pa.int32()), pa.array(reports, _REPORT), pa.array(columns["error"], pa.string()),
     ]
-    kept = [(n, b.column(n)) for n in b.schema.names if n not in ("content_in", "framework_in", "source")]
+    kept = [(n, b.column(n)) for n in b.schema.names if n not in _INPUT]
     return pa.RecordBatch.from_arrays([c for _, c in kept] + made, [n for n, _ in kept] + list(columns))
 
 
@@ -108,15 +112,12 @@ def run(records: DataFrame, options: Options | None = None, ask: Callable[[str],
     given = F.coalesce("framework", F.lit(""))
     # a Markdown file has no page to detect by, but its address may tell
     known = F.when(given != "", given).when(F.col("source") == "markdown", urls.framework(F.col("url")))
-    rows = records.withColumn("_low", F.col("content").isNotNull() & text.low_value(F.col("content"))) if o.precheck else records.withColumn("_low", F.lit(False))
-    todo = rows.where(~F.col("_low")).select(*keep, "source", known.alias("framework_in"), F.col("content").alias("content_in"))
+    # rejected rows go on without their content, so they cost the stage nothing and are read once
+    low = F.col("content").isNotNull() & text.low_value(F.col("content")) if o.precheck else F.lit(False)
+    rows = records.withColumn("low_in", low)
+    body = F.when(~F.col("low_in"), F.col("content"))
+    todo = rows.select(*keep, "source", known.alias("framework_in"), body.alias("content_in"), "low_in")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema.fields)
     done = spread(todo).mapInArrow(_stage(o, ask, extractor), f"{fields}, {RESULT}" if fields else RESULT)
-    done = done.withColumn("status", F.when(F.col("report").isNull(), "failed").when(F.col("report.passed"), "passed").otherwise("manual_review"))
-    if not o.precheck:
-        return done
-    skipped = rows.where("_low").select(
-        *keep, F.coalesce("framework", F.lit("")).alias("framework"), F.lit("").alias("content"), F.array(F.lit("skipped_low_quality")).alias("steps"), F.lit(0).alias("retry_count"),
-        F.lit(None).cast(REPORT).alias("report"), F.lit(None).cast("string").alias("error"), F.lit("skipped_low_quality").alias("status"),
-    )
-    return done.unionByName(skipped)
+    state = F.when(F.array_contains("steps", SKIPPED), SKIPPED).when(F.col("report").isNull(), "failed").when(F.col("report.passed"), "passed").otherwise("manual_review")
+    return done.withColumn("status", state)

@@ -45,9 +45,8 @@ def llms(files: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 
 def merged(llms_index: DataFrame, sitemap_index: DataFrame) -> DataFrame:
     """(site_name, url, pos): llms.txt first, then sitemaps, first of equal addresses, endpoints merged; pos orders both."""
-    ranked = llms_index.select("site_name", "url", F.struct(F.lit(0).alias("src"), F.col("pos")).alias("at")).unionByName(sitemap_index.select("site_name", "url", F.struct(F.lit(1).alias("src"), F.col("pos")).alias("at")))
-    once = ranked.groupBy("site_name", urls.bare(F.col("url")).alias("url")).agg(F.min("at").alias("at"))
-    return once.select("site_name", "url", (F.col("at.src") * F.lit(1 << 40) + F.col("at.pos")).alias("pos"))
+    both = llms_index.select("site_name", "url", F.col("pos").alias("at")).unionByName(sitemap_index.select("site_name", "url", (F.col("pos") + F.lit(1 << 40)).alias("at")))
+    return both.groupBy("site_name", urls.bare(F.col("url")).alias("url")).agg(F.min("at").alias("pos"))
 
 
 def as_llms_line(title: Column, url: Column) -> Column:
