@@ -42,8 +42,9 @@ class Work:
         return f"HELDCODE{len(self.store) - 1}KEPT"
 
 
-def _own_tree(e: Element) -> Element:
+def _own_tree(e: Element, of: Element) -> Element:
     root = Element("#root")
+    root.known = of.known
     e.drop()
     return root.add(e)
 
@@ -53,7 +54,7 @@ def main_content(w: Work) -> None:
     for selector in w.profile.main_selector.split(","):
         hit = w.tree.first(selector.strip()) if selector.strip() else None
         if hit is not None:
-            w.tree = _own_tree(hit)
+            w.tree = _own_tree(hit, w.tree)
             return
     found = w.extractor(w.raw) if w.extractor else densest_region(w.raw)
     if found:
@@ -251,10 +252,13 @@ STEPS: dict[str, Callable[[Work], None]] = {
 }
 
 
-def run_chain(page: str | None, profile: Profile, skip: Iterable[str] = (), extractor: Callable[[str], str | None] | None = None) -> tuple[str, list[str]]:
-    """Cleaned Markdown and the names of the steps that ran. Unknown names in ``skip`` change nothing."""
+def run_chain(page: str | None, profile: Profile, skip: Iterable[str] = (), extractor: Callable[[str], str | None] | None = None, tree: Element | None = None) -> tuple[str, list[str]]:
+    """Cleaned Markdown and the names of the steps that ran. Unknown names in ``skip`` change nothing.
+
+    ``tree`` is the page's tree where the caller has parsed it already; it is used up.
+    """
     left_out = set(skip)
-    w = Work(page or "", profile, extractor, parse(page))
+    w = Work(page or "", profile, extractor, tree if tree is not None else parse(page))
     done = []
     for name, step in STEPS.items():
         if name not in left_out:

@@ -36,12 +36,17 @@ _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 
 
 class Element:
-    """An element; kids holds elements and strings (decoded text) in order."""
+    """An element; kids holds elements and strings (decoded text) in order.
 
-    __slots__ = ("tag", "attrs", "kids", "parent")
+    A root also knows which tags, classes, ids and attributes its page has at most, so that
+    a selector that cannot match costs no walk.
+    """
+
+    __slots__ = ("tag", "attrs", "kids", "parent", "known")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Element | None = None):
         self.tag, self.attrs, self.parent = tag, attrs or {}, parent
+        self.known: frozenset[tuple[str, str]] | None = None
         self.kids: list[Element | str] = []
 
     @property
@@ -110,12 +115,19 @@ class Element:
 
     def select(self, selector: str) -> list[Element]:
         """Elements below (or at) this one that match, in document order."""
+        groups = self._possible(selector)
+        return [] if not groups else [e for e in self.walk() if any(_matches(e, g) for g in groups)]
+
+    def _possible(self, selector: str) -> tuple[tuple[tuple, ...], ...]:
         groups = _compiled(selector)
-        return [e for e in self.walk() if any(_matches(e, g) for g in groups)]
+        known = self.known
+        if known is None:
+            return groups
+        return tuple(g for g in groups if all(t[0] in ("last", "first") or t[1] == "*" or t[:2] in known for t in g[-1]))
 
     def first(self, selector: str) -> Element | None:
-        groups = _compiled(selector)
-        return next((e for e in self.walk() if any(_matches(e, g) for g in groups)), None)
+        groups = self._possible(selector)
+        return None if not groups else next((e for e in self.walk() if any(_matches(e, g) for g in groups)), None)
 
     def html(self) -> str:
         out: list[str] = []
@@ -142,12 +154,17 @@ def _ready(kid: Element | str, parent: Element) -> Element | str:
     return _html.escape(kid, quote=False)
 
 
+# Elements that the cleaning steps make.
+_MADE = (("tag", "p"), ("tag", "strong"), ("tag", "pre"), ("tag", "code"), ("tag", "span"), ("class", "code-block-line-group"))
+
+
 def parse(page: str | None) -> Element:
     """The tree under a #root element; empty for null or empty input."""
     root = Element("#root")
     if not page:
         return root
     at = root
+    known = set(_MADE)
     pos = 0
     n = len(page)
     while pos < n:
@@ -171,6 +188,13 @@ def parse(page: str | None) -> Element:
             at = _end(at, *_ENDS[tag])
         raw = m[3]
         e = Element(tag, {a.lower(): _html.unescape(x or y or z) for a, x, y, z in reversed(_ATTR.findall(raw))} if raw and not raw.isspace() else None, at)
+        known.add(("tag", tag))
+        for a, v in e.attrs.items():
+            known.add(("attr", a))
+            if a == "class":
+                known.update(("class", c) for c in v.split())
+            elif a == "id":
+                known.add(("id", v))
         at.kids.append(e)
         if tag in VOID:
             continue
@@ -183,6 +207,7 @@ def parse(page: str | None) -> Element:
             continue
         if not raw.endswith("/") or tag in BLOCKS:
             at = e
+    root.known = frozenset(known)
     return root
 
 

@@ -16,7 +16,8 @@ from ..functions import text, urls
 from ..model import ACTION, FALLBACK_PHRASES, REPORT, WIDE_SELECTOR, Options, Profile, profile
 from ..operators import markdown, quality
 from ..operators.clean import run_chain
-from ..operators.detect import framework_of
+from ..operators.detect import best, framework_of, scores
+from ..operators.dom import Element, parse
 from ..session import spread
 
 SKIPPED = "skipped_low_quality"
@@ -37,13 +38,14 @@ def adjusted(p: Profile, skip: set[str], action: dict | None) -> Profile:
     return p.with_(main_selector=WIDE_SELECTOR)
 
 
-def process_html(page: str, p: Profile, o: Options, ask: Callable[[str], str] | None = None, extractor: Callable[[str], str | None] | None = None) -> tuple[str, list[str], dict, int]:
+def process_html(page: str, p: Profile, o: Options, ask: Callable[[str], str] | None = None, extractor: Callable[[str], str | None] | None = None, tree: Element | None = None) -> tuple[str, list[str], dict, int]:
     """Content, steps, report and retries: every attempt starts from the raw page; the first that passes wins, else the last."""
     skip: set[str] = set()
     raw_code = page.lower().count("<pre")
     judge = quality.judge(ask) if ask else None
     for attempt in range(o.max_retries + 1):
-        content, steps = run_chain(page, p, skip, extractor)
+        content, steps = run_chain(page, p, skip, extractor, tree)
+        tree = None
         report = quality.evaluate(content, o.min_length, o.threshold, o.gray_low, o.gray_high, judge, raw_code)
         if report["passed"] or attempt == o.max_retries:
             return content, steps, report, attempt
@@ -68,9 +70,13 @@ def _stage(o: Options, ask, extractor):
                     row = (name or "", "", [SKIPPED], 0, None, None)
                 elif body is not None:
                     try:
-                        name = name or framework_of(body)
-                        work = process_markdown if source == "markdown" else process_html
-                        content, steps, report, retries = work(body, profile(name), o, ask, *([] if source == "markdown" else [extractor]))
+                        if source == "markdown":
+                            name = name or framework_of(body)
+                            content, steps, report, retries = process_markdown(body, profile(name), o, ask)
+                        else:
+                            tree = None if name else parse(body)  # one parse serves detection and the first attempt
+                            name = name or best(scores(tree))
+                            content, steps, report, retries = process_html(body, profile(name), o, ask, extractor, tree)
                         row = (name, content, steps, retries, report, None)
                     except Exception as e:  # one page never ends the run
                         row = (name, None, [], 0, None, f"{type(e).__name__}: {e}"[:500])
