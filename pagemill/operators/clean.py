@@ -161,9 +161,13 @@ def flatten_block_in_cells(w: Work) -> None:
 
 def escape_cell_pipes_html(w: Work) -> None:
     """A bar in a cell's text is escaped, except in code; once, however cells are nested."""
-    for e in w.tree.walk():
-        if e.tag not in ("code", "pre") and (e.tag in ("td", "th") or e.inside("td", "th")):
-            e.kids = [k.replace("|", "\\|") if isinstance(k, str) else k for k in e.kids]
+    seen: set[int] = set()
+    for cell in w.tree.select("td, th"):
+        for e in cell.walk():
+            if id(e) not in seen:
+                seen.add(id(e))
+                if e.tag not in ("code", "pre"):
+                    e.kids = [k.replace("|", "\\|") if isinstance(k, str) else k for k in e.kids]
 
 
 def code_text(code: Element) -> str:
