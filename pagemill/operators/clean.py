@@ -22,7 +22,7 @@ SHELLS = ("bash", "sh", "shell", "zsh")
 DROPPED = "script, style, noscript, iframe, svg, button, title"
 
 _PROMPT = re.compile(r"^[$%]\s*", re.M)
-_FENCED_TEXT = re.compile(r"```(\S*)\s*\n(.*?)```", re.S)
+_FENCED_TEXT = re.compile(r"```([^\s`]*)[^\S\n]*\n(.*?)```", re.S)
 
 
 @dataclass

@@ -167,8 +167,11 @@ def parse(page: str | None) -> Element:
     known = set(_MADE)
     pos = 0
     n = len(page)
+    tagged = page.rfind(">") + 1
+    if page.count("<", tagged) <= 100:
+        tagged = n  # otherwise what follows the last tag end is text, full of tags that never end
     while pos < n:
-        m = _TOKEN.search(page, pos)
+        m = _TOKEN.search(page, pos, tagged) if pos < tagged else None
         text = page[pos : m.start() if m else n]
         if text:
             at.kids.append(_html.unescape(text) if "&" in text else text)

@@ -9,15 +9,16 @@ from ..model import Profile
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 
 
+_HELD = re.compile(r"[ \t]*HELDCODE(\d+)KEPT[ \t]*")
+
+
 def restore(text: str, store: list[str]) -> str:
     """Held blocks at column 0 with an empty line before and after; runs of empty lines outside code shrink to one."""
-    for i, block in enumerate(store):
-        mark = f"HELDCODE{i}KEPT"
-        text = re.sub(rf"^[ \t]+{mark}$", lambda m: mark, text, flags=re.M)
-        text = re.sub(rf"[ \t]*{mark}[ \t]*", lambda m: f"\n\n{mark}\n\n", text)
+    if store:
+        text = _HELD.sub(r"\n\nHELDCODE\1KEPT\n\n", text)
     text = re.sub(r"\n{3,}", "\n\n", text)
-    for i, block in enumerate(store):
-        text = text.replace(f"HELDCODE{i}KEPT", block)
+    if store:
+        text = _HELD.sub(lambda m: store[int(m[1])] if int(m[1]) < len(store) else m[0], text)
     return text.strip("\n")
 
 

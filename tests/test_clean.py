@@ -126,3 +126,12 @@ def test_nav_region():
     assert nav.analyze(five, None) is None and nav.analyze(five, lambda _: "x") is None
     tree = nav.analyze(five, lambda _: '{"sections": [{"title": "A", "url": "/a", "priority": "core", "children": [{"title": "B", "url": "/b"}]}]}')
     assert [r[1:4] for r in nav.to_nodes(tree, "s")] == [(1, None, 0), (2, 1, 0)]
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "`", "```\n", "<", "&", "<p>", "<!--", "*", "|", "<li>", "<td>", "<pre>"])
+def test_hostile_pages_take_no_quadratic_time(piece):
+    import time
+
+    began = time.process_time()
+    clean.run_chain(piece * (30_000 // len(piece)), profile("generic"))
+    assert time.process_time() - began < 10
