@@ -60,13 +60,22 @@ def hash64(token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _tagged(page: str) -> tuple[str, str]:
+    """The page up to its last tag end, and the rest where that is full of tags that never end."""
+    end = page.rfind(">") + 1
+    return (page[:end], page[end:]) if page.count("<", end) > 100 else (page, "")
+
+
 def text_blocks(page: str | None) -> list[str]:
     """The text blocks of a page in order, references decoded, white space as it stands."""
     if not page:
         return []
+    page, rest = _tagged(page)
     page = _BR.sub(" ", _INLINE.sub("", _SKIP.sub(_skipped, page)))
     out = []
-    for part in _ANY.split(page):
+    parts = _ANY.split(page)
+    parts[-1] += rest
+    for part in parts:
         if part and not part.isspace():
             text = _html.unescape(part) if "&" in part else part
             if text and not text.isspace():
@@ -149,6 +158,7 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     blocks: list[Block] = []
     if not page:
         return nodes, blocks
+    page, rest = _tagged(page)
     page = _SKIP.sub(_skipped, page)
     stack = [0]
     buf: list[str] = []
@@ -226,8 +236,8 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
         nodes.append(Node(tag, cls, parent, p.depth + 1, p.kids))
         p.kids += 1
         stack.append(len(nodes) - 1)
-    if pos < len(page):
-        buf.append(page[pos:])
+    if pos < len(page) or rest:
+        buf.append(page[pos:] + rest)
     if buf:
         _add(blocks, buf, stack[-1], linked, inner)
     return nodes, blocks

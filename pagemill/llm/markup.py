@@ -64,7 +64,7 @@ _INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 
 
-_FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]\n]*\])?\{[^}\n]*\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*")
+_FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\[\]\n]*\])?\{[^{}\n]*\}(?:\[[^\[\]\n]*\]|\{[^{}\n]*\})*")
 
 
 _INDENTED = re.compile(r"^(?:    |\t).*$", re.M)
@@ -73,7 +73,7 @@ _TRAIL = re.compile(r"(?:(?:^|\s+)#+\s*|\s*\{[#.:][^{}]*\}\s*)+$")
 _QUOTE_MARK = re.compile(r"^ {0,3}(?:> ?)+", re.M)
 _TABLE_RULE = re.compile(r"^[ \t]*(?:\{\|.*|\|[-}].*|\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t:-]*)$", re.M)
 _SETEXT_NO = re.compile(r"\s*(?:[-+*]|\d+[.)])\s")
-_FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]\n]*\])?\{[^}\n]*\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*")
+_FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\[\]\n]*\])?\{[^{}\n]*\}(?:\[[^\[\]\n]*\]|\{[^{}\n]*\})*")
 _MD_SIGNS = re.compile(r"^#{2,6} \S|^.*\S\n(?:-{3,}|={3,})[ \t]*$|\]\([^)\n]*\)|\*\*\S|^[-+] \S|^\d+\. \S|^\$\$|`\S", re.M)
 _WIKI_HEADS = re.compile(r"^(=+)[^=\n]+\1\s*$", re.M)
 _WIKI_SIGNS = re.compile(r"'{2,3}\S|\[\[|^\{\||\[https?://\S+ |^\{\{[^{#]|</?(?:ref|math|nowiki)\b", re.M)
@@ -133,11 +133,11 @@ def clean(text: str, d: tuple) -> str:
         else:
             text = re.sub(r"\\([\\`*_{}\[\]()#+\-.!|<>~$&])", lambda m: hold(m[1]), text)
     if "[" in text:
-        if wiki:
-            text = re.sub(r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1", text)
+        if wiki and "]" in text:
+            text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", text)
             text = re.sub(r"\[(?:https?:|mailto:|//)\S*\s+([^\]]*)\]", r"\1", text)
         else:
-            text = re.sub(r"!?\[([^\]]*)\](?:\([^)\s]*(?:\s+\"[^\"]*\")?\)|\[[^\]]*\])", r"\1", text)
+            text = re.sub(r"!?\[([^\[\]]*)\](?:\([^)\s]*(?:\s+\"[^\"]*\")?\)|\[[^\]]*\])", r"\1", text)
     if wiki:
         text = re.sub(r"<ref\b[^>]*?(?:/>|>.*?</ref\s*>)", "", text, flags=re.S | re.I)
         text = re.sub(r"\{\{[^{}]*\}\}", "", text)

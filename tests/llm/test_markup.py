@@ -54,3 +54,15 @@ def test_tables(spark):
     texts = {r.raw_path: r.text for r in markup.clean_text(md, html).collect()}
     assert texts["m"] == "# A\n- b" and "```\nc\nd\n```" in texts["h"]
     assert markup.structure(md.limit(0), html.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "`", "\\begin{a", "[", "[[", "<", "&", "<p>", "<!--", "*", "$a", "=", "#", "<li>", "_a", "|-", "\\begin{equation}x"])
+def test_hostile_bodies_take_no_quadratic_time(model, piece):
+    import time
+
+    site = {"blocks": frozenset(), "often": frozenset(), "main": frozenset(), "wide": frozenset()}
+    body = piece * (60_000 // len(piece))
+    began = time.process_time()
+    model.elements(body)
+    model.page_elements(body, site)
+    assert time.process_time() - began < 10
