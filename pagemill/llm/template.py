@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, spread
@@ -33,6 +33,8 @@ from .meeting import meet
 SHARE, SHARE_ITEM, LEAST = 0.09, 0.12, 3
 #: Share of pages on which a class of the page skeleton stands; rarer classes are optional parts.
 CORE = 0.5
+#: Share of pages from which a container path counts as made by the site's template, and at which a text stands on nearly all pages.
+BOX_SHARE, NEARLY = 0.02, 0.9
 
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
@@ -172,11 +174,12 @@ def _source(pages: DataFrame) -> DataFrame:
 
 
 def template(pages: DataFrame, share: float = SHARE, least: int = LEAST, nested: bool = False) -> DataFrame:
-    """(s, token, kind, files, class_id, total, size, depth, up): valid template tokens with their equivalence class.
+    """(s, token, kind, files, class_id, total, size, around, depth, up): valid template tokens with their equivalence class.
 
     kind b: block or block with a slot; n: container. class_id is the digest of the
-    occurrence vector; tokens of one class stand on the same pages equally often. up is the
-    token of the container around it, if ``nested`` asks for it.
+    occurrence vector; tokens of one class stand on the same pages equally often. size is a
+    container's free text and around that of the pages it stands on; containers are kept from BOX_SHARE on. up is the
+    token of the container around it, if ``nested`` asks for it; then containers need the full share too.
     """
     t = _source(pages).mapInArrow(_tokens(nested), "path string, site string, " + ", ".join(f"{c} array<long>" for c in _TOKENS))
     t = t.withColumn("s", F.xxhash64("site")).withColumn("f", F.xxhash64("path"))
@@ -185,14 +188,14 @@ def template(pages: DataFrame, share: float = SHARE, least: int = LEAST, nested:
         "f",
         F.explode(
             F.concat(
-                F.zip_with("tokens", "counts", lambda a, b: F.struct(a.alias("token"), b.alias("n"), F.lit(0).cast("long").alias("size"), F.lit(-1).alias("depth"))),
-                F.zip_with("boxes", "sizes", lambda a, b: F.struct(a.alias("token"), F.lit(1).cast("long").alias("n"), F.shiftright(b, 6).alias("size"), b.bitwiseAND(F.lit(63)).cast("int").alias("depth"))),
-                F.array(F.struct(F.lit(0).cast("long").alias("token"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.lit(-2).alias("depth"))),
+                F.zip_with("tokens", "counts", lambda a, b: F.struct(a.alias("token"), b.alias("n"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("around"), F.lit(-1).alias("depth"))),
+                F.zip_with("boxes", "sizes", lambda a, b: F.struct(a.alias("token"), F.lit(1).cast("long").alias("n"), F.shiftright(b, 6).alias("size"), F.shiftright(F.array_max("sizes"), 6).alias("around"), b.bitwiseAND(F.lit(63)).cast("int").alias("depth"))),
+                F.array(F.struct(F.lit(0).cast("long").alias("token"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("around"), F.lit(-2).alias("depth"))),
             )
         ).alias("e"),
     ).select("s", "f", "e.*")
     counted = entries.groupBy("s", "token").agg(
-        F.count(F.lit(1)).alias("files"), F.bit_xor(F.xxhash64("f", "n")).alias("class_id"), F.sum("size").alias("size"), F.max("depth").alias("depth")
+        F.count(F.lit(1)).alias("files"), F.bit_xor(F.xxhash64("f", "n")).alias("class_id"), F.sum("size").alias("size"), F.sum("around").alias("around"), F.max("depth").alias("depth")
     )
     if nested:
         around = t.select("s", F.explode(F.arrays_zip(F.concat("tokens", "boxes").alias("token"), F.concat("ups", "outer").alias("up"))).alias("e")).select("s", "e.*")
@@ -201,34 +204,53 @@ def template(pages: DataFrame, share: float = SHARE, least: int = LEAST, nested:
         counted = counted.withColumn("up", F.lit(None).cast("long"))
     kept = checkpoint(counted.where((F.col("files") >= least) | (F.col("depth") == -2)))
     totals = kept.where("depth = -2").select("s", F.col("files").alias("total"))
-    valid = kept.where("depth <> -2").join(totals, "s").where(F.col("files") >= F.greatest(F.lit(float(least)), F.col("total") * share))
-    return valid.select("s", "token", F.when(F.col("depth") < 0, "b").otherwise("n").alias("kind"), "files", "class_id", "total", "size", "depth", "up")
+    needed = F.lit(share) if nested else F.when(F.col("depth") < 0, share).otherwise(min(share, BOX_SHARE))
+    valid = kept.where("depth <> -2").join(totals, "s").where(F.col("files") >= F.greatest(F.lit(float(least)), F.col("total") * needed))
+    return valid.select("s", "token", F.when(F.col("depth") < 0, "b").otherwise("n").alias("kind"), "files", "class_id", "total", "size", "around", "depth", "up")
 
 
-def by_site(valid: DataFrame, share_item: float = SHARE_ITEM, core: float = CORE) -> DataFrame:
-    """(s, total, blocks, often, main, wide): per site the template in one row.
+#: What a page gets of its site's template.
+_SITE = ("blocks", "often", "most", "main", "wide", "boxes")
 
-    blocks: tokens for flowing text; often: those frequent enough for items and cells;
-    main: containers that hold most free text over the site; wide: containers of at least a third of it.
+
+def by_site(valid: DataFrame, share: float = SHARE, share_item: float = SHARE_ITEM, core: float = CORE) -> DataFrame:
+    """(s, total, blocks, often, most, main, wide, boxes): per site the template in one row.
+
+    blocks: tokens for flowing text; often: those frequent enough for items and cells; most: those on nearly all pages;
+    main: containers that hold most free text over the site; wide: containers of at least a third of it, or of half
+    the text of the pages they stand on (the frames of layouts that only a part of the pages has); boxes: all containers.
     """
     root = valid.where("kind = 'n' and depth = 0").select("s", F.col("size").alias("all_text"))
     v = valid.join(root, "s", "left")
     weight = F.col("size") / F.greatest(F.col("all_text"), F.lit(1))
-    is_main = (F.col("kind") == "n") & (F.col("files") >= F.col("total") * core) & (weight >= 0.5)
+    own = F.col("size") / F.greatest(F.col("around"), F.lit(1))
+    is_block, is_box = F.col("kind") == "b", F.col("kind") == "n"
+    frequent = F.col("files") >= F.col("total") * share
+    is_main = is_box & (F.col("files") >= F.col("total") * core) & (weight >= 0.5)
+
+    def held(condition: Column, name: str) -> Column:
+        return F.collect_list(F.when(condition, F.col("token"))).alias(name)
+
     return v.groupBy("s").agg(
         F.max("total").alias("total"),
-        F.collect_list(F.when(F.col("kind") == "b", F.col("token"))).alias("blocks"),
-        F.collect_list(F.when((F.col("kind") == "b") & (F.col("files") >= F.col("total") * share_item), F.col("token"))).alias("often"),
-        F.collect_list(F.when(is_main, F.col("token"))).alias("main"),
-        F.collect_list(F.when((F.col("kind") == "n") & (weight >= 0.35), F.col("token"))).alias("wide"),
+        held(is_block, "blocks"),
+        held(is_block & (F.col("files") >= F.col("total") * share_item), "often"),
+        held(is_block & (F.col("files") >= F.col("total") * NEARLY), "most"),
+        held(is_main, "main"),
+        held(is_box & frequent & ((weight >= 0.35) | (own >= 0.5)), "wide"),
+        held(is_box, "boxes"),
     )
 
 
 def is_chrome(nodes: list[Node], blocks: list[Block], site: dict) -> list[bool]:
-    """For every block of a page, whether it belongs to the site's chrome."""
-    flow, often, main, wide = site["blocks"], site["often"], site["main"], site["wide"]
+    """For every block of a page, whether it belongs to the site's chrome.
+
+    A container with a class is chrome as a whole only where the site's template has its path, it holds no content of
+    its own form (code, tables, headings that are not template) and no main text stands on one side of it.
+    """
+    flow, often, main, wide, known = site["blocks"], site["often"], site["main"], site["wide"], site.get("boxes", ())
     where = paths(nodes)
-    token = [_path_token(p) for p in where] if main or wide else []
+    token = [_path_token(p) for p in where] if main or wide or known else []
     best = -1
     for i, n in enumerate(nodes):
         if n.tag in _CONTAINERS and token and token[i] in main and (best < 0 or n.depth > nodes[best].depth):
@@ -237,9 +259,16 @@ def is_chrome(nodes: list[Node], blocks: list[Block], site: dict) -> list[bool]:
     texts = [0] * len(nodes)
     linked = [0] * len(nodes)
     has_h1 = [False] * len(nodes)
-    for b in blocks:
-        texts[b.node] += b.chars
-        linked[b.node] += b.linked
+    own_form = [False] * len(nodes)
+    first, last = [len(blocks)] * len(nodes), [-1] * len(nodes)
+    roles = [role(nodes[b.node]) for b in blocks]
+    for k, b in enumerate(blocks):
+        i = b.node
+        texts[i] += b.chars
+        linked[i] += b.linked
+        first[i], last[i] = min(first[i], k), k
+        if roles[k] in "pc" or roles[k] == "h" and block_token(b, "h") not in flow:
+            own_form[i] = True
     for i in range(len(nodes) - 1, 0, -1):  # children stand after their parents
         n = nodes[i]
         up = n.parent
@@ -248,40 +277,56 @@ def is_chrome(nodes: list[Node], blocks: list[Block], site: dict) -> list[bool]:
         boxes[up] += 1
         texts[up] += texts[i]
         linked[up] += linked[i]
-    # state of an element: 1 chrome, 0 open
+        own_form[up] |= own_form[i]
+        first[up], last[up] = min(first[up], first[i]), max(last[up], last[i])
+    # state of an element: 1 chrome, 0 open; held: in a container that may be chrome
     state = [0] * len(nodes)
+    held = [False] * len(nodes)
     inside = [best <= 0] * len(nodes)
+    maybe = []
     for i, n in enumerate(nodes):
         if n.parent >= 0:
-            state[i] = state[n.parent]
+            state[i], held[i] = state[n.parent], held[n.parent]
             inside[i] = inside[n.parent] or i == best
         if state[i] or n.tag not in _CONTAINERS or has_h1[i] or i == best or i == 0:
             continue
         if n.tag in _CHROME_TAGS:
             state[i] = 1
-        elif n.cls and boxes[i] and not (token and token[i] in wide) and (best > 0 or not token) and n.tag not in ("table", "tr", "td", "ol"):
-            state[i] = 1
         elif texts[i] and linked[i] >= texts[i] and n.tag in ("ul", "ol", "div", "td", "section", "header", "form"):
             state[i] = 1
-    out = []
+        elif n.cls and boxes[i] and token and token[i] in known and token[i] not in wide and not own_form[i] and n.tag not in ("table", "tr", "td", "ol"):
+            maybe.append(i)
+            held[i] = True
     full = [False, *(b.full_link for b in blocks), False]
-    for k, b in enumerate(blocks):
-        r = role(nodes[b.node])
-        if state[b.node] or not inside[b.node]:
-            out.append(True)
-        elif r == "f" and full[k + 1] and (full[k] or full[k + 2]):
-            out.append(True)  # one of a run of links
-        elif r == "f" or r == "h":
-            out.append(block_token(b, r) in flow or any(t in flow for t in open_tokens(b, r)))
-        else:
-            out.append(block_token(b, r) in often)
+
+    def is_template(k: int) -> bool:
+        b, r = blocks[k], roles[k]
+        if r == "f" and full[k + 1] and (full[k] or full[k + 2]):
+            return True  # one of a run of links
+        if r == "f" or r == "h":
+            return block_token(b, r) in flow or any(t in flow for t in open_tokens(b, r))
+        return block_token(b, r) in often
+
+    out = [bool(state[b.node]) or not inside[b.node] or not held[b.node] and is_template(k) for k, b in enumerate(blocks)]
+    if maybe:
+        content = [k for k, b in enumerate(blocks) if not out[k] and not held[b.node]]
+        begin, end = (content[0], content[-1]) if content else (len(blocks), -1)
+        for i in maybe:
+            if last[i] < begin or first[i] > end:
+                state[i] = 1
+        for i, n in enumerate(nodes):
+            if held[i] and n.parent >= 0 and held[n.parent] and state[n.parent]:
+                state[i] = 1
+        for k, b in enumerate(blocks):
+            if held[b.node] and not out[k]:
+                out[k] = bool(state[b.node]) or is_template(k)
     return out
 
 
 def attach(pages: DataFrame, valid: DataFrame, **limits: int) -> DataFrame:
-    """Every page with its site's template (s, path, html, blocks, often, main, wide)."""
+    """Every page with its site's template: (s, path, html) and _SITE."""
     rows = _source(pages).withColumn("s", F.xxhash64("site"))
-    return meet(rows, by_site(valid), "s", ["path", "html"], 16 * valid.count(), **limits).select("s", "path", "html", "blocks", "often", "main", "wide")
+    return meet(rows, by_site(valid), "s", ["path", "html"], 16 * valid.count(), **limits).select("s", "path", "html", *_SITE)
 
 
 class Sites:
@@ -295,7 +340,7 @@ class Sites:
         for i, s in enumerate(ids):
             site = self.held.get(s)
             if site is None:
-                site = {c: frozenset(self.batch.column(c)[i].as_py() or ()) for c in ("blocks", "often", "main", "wide")}
+                site = {c: frozenset(self.batch.column(c)[i].as_py() or ()) for c in _SITE}
                 if len(self.held) > 512:
                     self.held.clear()
                 self.held[s] = site
