@@ -242,11 +242,13 @@ def by_site(valid: DataFrame, share: float = SHARE, share_item: float = SHARE_IT
     )
 
 
-def is_chrome(nodes: list[Node], blocks: list[Block], site: dict) -> list[bool]:
+def is_chrome(nodes: list[Node], blocks: list[Block], site: dict, rescue: bool = True) -> list[bool]:
     """For every block of a page, whether it belongs to the site's chrome.
 
     A container with a class is chrome as a whole only where the site's template has its path, it holds no content of
     its own form (code, tables, headings that are not template) and no main text stands on one side of it.
+    Where nothing but headings would be left, ``rescue`` keeps the template text of the main container that is
+    not on nearly all pages: the site repeats it in place of content.
     """
     flow, often, main, wide, known = site["blocks"], site["often"], site["main"], site["wide"], site.get("boxes", ())
     where = paths(nodes)
@@ -320,6 +322,11 @@ def is_chrome(nodes: list[Node], blocks: list[Block], site: dict) -> list[bool]:
         for k, b in enumerate(blocks):
             if held[b.node] and not out[k]:
                 out[k] = bool(state[b.node]) or is_template(k)
+    if rescue and flow and all(c or r == "h" for c, r in zip(out, roles)):
+        most = site.get("most", ())
+        for k, b in enumerate(blocks):
+            if out[k] and not state[b.node] and inside[b.node] and not b.full_link:
+                out[k] = block_token(b, roles[k]) in most or any(t in most for t in open_tokens(b, roles[k]))
     return out
 
 
