@@ -365,39 +365,61 @@ class Model:
         chrome = template.is_chrome(nodes, blocks, site)
         out: list[tuple[int, str, str]] = []
         d = (0, 0, 0, 3, 0)
-        joined: dict[int, int] = {}
+        refused: set[int] = set()
+        kinds: dict[int, str] = {}
+        for _ in range(4):  # from the outside in: a refused node is opened again
+            owner = _owners(nodes, refused)
+            held: dict[int, list[int]] = {}
+            for k, (b, c) in enumerate(zip(blocks, chrome)):
+                if not c and owner[b.node] >= 0:
+                    held.setdefault(owner[b.node], []).append(k)
+            more = False
+            for i, ks in held.items():
+                if i not in kinds:
+                    form, kind = _NODE_FORMS[nodes[i].tag]
+                    own = [blocks[k] for k in ks]
+                    text = ("\n" if kind == "code" else " ").join(b.text for b in own)
+                    linked = 3 if all(b.full_link for b in own) else int(any(b.linked for b in own))
+                    attrs = nodes[i].cls + " ".join(own[0].inner[:1])
+                    accepted = self.decide(form, kind, text if kind == "code" else " ".join(text.split()), features(form, text, d, attrs=attrs, depth=nodes[i].depth if kind == "code" else 1, linked=linked))
+                    kinds[i] = kind if accepted else "text"
+                    if not accepted:
+                        refused.add(i)
+                        more = True
+            if not more:
+                break
+        parts: dict[int, list[str]] = {}
+        at: dict[int, int] = {}
         for k, (b, c) in enumerate(zip(blocks, chrome)):
             if c:
                 continue
-            n = nodes[b.node]
-            tag = n.tag
-            attrs = n.cls + " ".join(b.inner[:1])
-            linked = 3 if b.full_link else int(b.linked > 0)
-            if tag == "pre":
-                if self.decide("pre", "code", b.text, features("pre", b.text, d, attrs=attrs, depth=n.depth, linked=linked)):
-                    out.append((k, "code", b.text))
-                    continue
-            words = " ".join(b.text.split())
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                form, kind = "htmlhead", "heading"
-            elif tag == "li":
-                form, kind = "li", "item"
-            else:
-                form, kind = "", "text"
-            if form and not self.decide(form, kind, words, features(form, b.text, d, attrs=attrs, depth=1, linked=linked)):
-                kind = "text"
-            self._formulas(b.text, d, out, k)
-            if kind == "text" and not between:
-                continue
-            if kind != "text" and b.node in joined and nodes[b.node].kids == 0:
-                i = joined[b.node]
-                out[i] = (out[i][0], kind, f"{out[i][2]} {words}")
-                continue
-            joined[b.node] = len(out)
-            out.append((k, kind, words))
+            i = owner[b.node]
+            kind = kinds.get(i, "text")
+            words = b.text if kind == "code" else " ".join(b.text.split())
+            if kind != "code":
+                self._formulas(b.text, d, out, k)
+            if kind != "text":
+                parts.setdefault(i, []).append(words)
+                at.setdefault(i, k)
+            elif between:
+                out.append((k, kind, words))
+        out.extend((at[i], kinds[i], ("\n" if kinds[i] == "code" else " ").join(x)) for i, x in parts.items())
+        out.sort(key=lambda e: e[0])
         return out
 
 
+_NODE_FORMS = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), ("htmlhead", "heading")), "li": ("li", "item"), "pre": ("pre", "code")}
+
+
+def _owners(nodes: list, refused: set[int]) -> list[int]:
+    """For every element the one whose text its blocks belong to, or -1: the outermost pre, else the nearest item or heading."""
+    out = [-1] * len(nodes)
+    for i, n in enumerate(nodes):
+        up = out[n.parent] if n.parent >= 0 else -1
+        out[i] = i if n.tag in _NODE_FORMS and i not in refused and (up < 0 or nodes[up].tag != "pre") else up
+    return out
+
+
 def _braced(line: str, i: int) -> str:
     """The text up to the brace that closes the one before position i."""
     level, j = 1, i

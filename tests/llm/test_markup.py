@@ -66,3 +66,10 @@ def test_hostile_bodies_take_no_quadratic_time(model, piece):
     model.elements(body)
     model.page_elements(body, site)
     assert time.process_time() - began < 10
+
+
+def test_nodes_hold_their_whole_subtree(model):
+    site = {"blocks": frozenset(), "often": frozenset(), "main": frozenset(), "wide": frozenset()}
+    page = "<main><h2>Head</h2><ul><li><p>one part</p><p>and more</p><ul><li><p>inner</p></li></ul></li><li>two <div>parts</div></li></ul><pre><div>a = 1</div><div>b = 2</div></pre><p>text</p></main>"
+    got = [(k, t) for _, k, t in model.page_elements(page, site)]
+    assert got == [("heading", "Head"), ("item", "one part and more"), ("item", "inner"), ("item", "two parts"), ("code", "a = 1\nb = 2"), ("text", "text")]
