@@ -316,11 +316,14 @@ class Model:
                 mark = m[2]
                 form = "texitem" if mark[0] == "\\" else "digit" if mark[0].isdigit() else {"-": "minus", "+": "plus", "*": "star", "#": "hash", "•": "minus"}[mark[0]]
                 run = sum(marks[k] == marks[i] for k in (i - 1, i + 1) if 0 <= k < n)
-                words = clean(m[4], d)
+                end = i + 1 if d[4] == 1 else _item_end(lines, blank, marks, i)  # a wiki item ends with its line
+                whole = " ".join([m[4], *(x.strip() for x in lines[i + 1 : end])]) if end > i + 1 else m[4]
+                words = clean(whole, d)
                 if words and self.decide(form, "item", words, features(form, m[4], d, mark_space=min(2, len(m[3])), before=before, after=after, run=run, size=len(mark), depth=len(m[1]) // 2)):
-                    self._formulas(m[4], d, out, offset[i])
+                    self._formulas(whole, d, out, offset[i])
                     out.append((offset[i], "item", words))
-                    lines[i], blank[i] = " " * len(lines[i]), True
+                    for k in range(i, end):
+                        lines[k], blank[k] = " " * len(lines[k]), True
             i += 1
         return "\n".join(lines)
 
@@ -347,7 +350,7 @@ class Model:
         while i + 1 < len(at):
             a, b = at[i], at[i + 1]
             content = text[a + 1 : b]
-            if content.strip() and "\n\n" not in content and len(content) <= 2000:
+            if content.strip() and "\n\n" not in content:
                 row = features("dollar", content, d, left=text[max(0, a - 1) : a], right=text[b + 1 : b + 2])
                 if self.decide("dollar", "formula", content, row):
                     out.append((a if base < 0 else base, "formula", content.strip()))
@@ -408,6 +411,17 @@ class Model:
         return out
 
 
+def _item_end(lines: list[str], blank: list[bool], marks: list[str], i: int) -> int:
+    """The line after the item that begins in line i: it goes on up to a blank line or one with a mark of its own."""
+    k = i + 1
+    while k < len(lines) and not blank[k] and not marks[k] and not _OWN_LINE.match(lines[k]):
+        if k + 1 < len(lines) and _UNDER.match(lines[k + 1]):
+            break
+        k += 1
+    return k
+
+
+_OWN_LINE = re.compile(r"[ \t]*(?:#{1,6}[ \t]|[>|<]|={1,6}[^=]|\$\$|\\(?:\[|begin|end|(?:sub)*section|paragraph|chapter|part)|(?:[-*_][ \t]*){3,}$|`{3}|~{3}|\{[%|]|=+[ \t]*$)")
 _NODE_FORMS = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), ("htmlhead", "heading")), "li": ("li", "item"), "pre": ("pre", "code")}
 
 

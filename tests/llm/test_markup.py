@@ -73,3 +73,10 @@ def test_nodes_hold_their_whole_subtree(model):
     page = "<main><h2>Head</h2><ul><li><p>one part</p><p>and more</p><ul><li><p>inner</p></li></ul></li><li>two <div>parts</div></li></ul><pre><div>a = 1</div><div>b = 2</div></pre><p>text</p></main>"
     got = [(k, t) for _, k, t in model.page_elements(page, site)]
     assert got == [("heading", "Head"), ("item", "one part and more"), ("item", "inner"), ("item", "two parts"), ("code", "a = 1\nb = 2"), ("text", "text")]
+
+
+def test_wrapped_items_and_long_formulas(model):
+    body = "- first item goes\n  on here\n- second\nlazily wrapped\n\nA paragraph.\n"
+    assert found(model, body) == {("item", "first item goes on here"), ("item", "second lazily wrapped")}
+    tex = " + ".join(f"x_{{{i}}}^{{2}}" for i in range(300))
+    assert len(tex) > 2000 and ("formula", norm(tex)) in found(model, f"Here ${tex}$ ends.\n")
