@@ -1,14 +1,13 @@
-"""Main bodies of pages, by deducing each site's template from token equivalence classes.
+"""Main bodies of pages, by deducing each site's template from the frequency of its tokens.
 
 Tokens of a page are its text blocks (the words of a constant block always come together,
 so they are one token beforehand), the blocks with one word left open (a constant with one
 slot, such as a byline), and its container elements. A token's occurrence vector says on which
 pages of the site it stands, and how often; it is carried as a commutative digest, which
 partial aggregation can build. Tokens of one site with equal vectors form an equivalence class.
-A class is valid when it is frequent and large enough; valid classes nest by their containers
-into the site's template. What stands between template tokens on a page are the slots: the
-slot that holds most of the free text is the main one, and the slots of nested classes in it
-(menus, notices, comments, related links) are not part of the main body.
+template_classes reports them with their nesting. The main bodies are not decided by class, since
+optional parts of a template are classes of one token: a block is template by the share of the site's pages
+its token stands on, containers by their share of free text, links, tags and template paths.
 
 Bounds: a site's template has at most (tokens per page) / share members however large the
 site, so it fits in one row. Tokens are counted with partial aggregation; a page meets its
