@@ -31,6 +31,9 @@ _TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>")
 _CLASS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
+_CLOSED = re.compile(rf"(?:-->|</(?:head|{SKIPPED})\s*>|<[!?][^>]*>)\Z", re.I)
+
+
 def _skipped(m: re.Match) -> str:
     # A skipped element separates, a comment or declaration does not.
     return "<p>" if m[0][1] not in "!?" else ""
@@ -60,18 +63,29 @@ def hash64(token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _tagged(page: str) -> tuple[str, str]:
-    """The page up to its last tag end, and the rest where that is full of tags that never end."""
+def _visible(page: str) -> tuple[str, str]:
+    """The page up to its last tag end without what holds no text, and the rest, where no tag can end."""
     end = page.rfind(">") + 1
-    return (page[:end], page[end:]) if page.count("<", end) > 100 else (page, "")
+    head, rest = page[:end], page[end:]
+    last = None
+
+    def skip(m: re.Match) -> str:
+        nonlocal last
+        last = m
+        return _skipped(m)
+
+    shown = _SKIP.sub(skip, head)
+    if last is not None and last.end() == end and not _CLOSED.search(last[0]):
+        rest = ""  # inside an element or comment that is never closed
+    return shown, rest.partition("<!--")[0]
 
 
 def text_blocks(page: str | None) -> list[str]:
     """The text blocks of a page in order, references decoded, white space as it stands."""
     if not page:
         return []
-    page, rest = _tagged(page)
-    page = _BR.sub(" ", _INLINE.sub("", _SKIP.sub(_skipped, page)))
+    page, rest = _visible(page)
+    page = _BR.sub(" ", _INLINE.sub("", page))
     out = []
     parts = _ANY.split(page)
     parts[-1] += rest
@@ -158,8 +172,7 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     blocks: list[Block] = []
     if not page:
         return nodes, blocks
-    page, rest = _tagged(page)
-    page = _SKIP.sub(_skipped, page)
+    page, rest = _visible(page)
     stack = [0]
     buf: list[str] = []
     inner: list[str] = []
