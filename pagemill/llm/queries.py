@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "page_records"))
 
 
+def p1_hot(spark: SparkSession, d: str) -> DataFrame:
+    """p1_found with every group of more than three records on the salted two-level way."""
+    return copies.copies(table(spark, d, "page_records"), hot=3, salts=4)
+
+
 def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(table(spark, d, "page_records"))
 
@@ -67,19 +72,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p8_found]
+    found = [p1_found, p1_hot, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p8_found]
     return {f.__name__: f for f in found}
 
 
-_CANON = r"""
-  SELECT record_id,
-    regexp_replace(lower(split_part(coalesce(url,''), '?', 1)), '[^\p{L}\p{M}\p{N}]+', '', 'g') || '?' ||
-    array_to_string(list_sort(list_filter(list_transform(
-      string_split(replace(CASE WHEN instr(coalesce(url,''), '?') > 0 THEN split_part(regexp_replace(url, '^[^?]*\?', ''), '#', 1) ELSE '' END, '&amp;', '&'), '&'),
-      lambda f: regexp_replace(lower(f), '[^\p{L}\p{M}\p{N}]+', '', 'g')), lambda f: f <> '')), '&') || '?' ||
-    regexp_replace(lower(regexp_extract(coalesce(url,''), '^[^?]*\?[^#]*(#.*)$', 1)), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS u,
-    regexp_replace(lower(coalesce(content_hash,'')), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS c
-  FROM page_records"""
+# A record's page state: whitespace, case and punctuation gone, the fields of the query (between & or ;) in order.
+_BARE = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+_CANON = rf"""
+  SELECT record_id, {_BARE.format("head")} || '?' || {_BARE.format("tail")} || '?' || coalesce((SELECT string_agg(f, '&' ORDER BY f) FROM (SELECT {_BARE.format("unnest(regexp_split_to_array(fields, '&amp;|&|;'))")} AS f) WHERE f <> ''), '') AS u, {_BARE.format("coalesce(content_hash, '')")} AS c
+  FROM (SELECT record_id, content_hash, regexp_extract(a, '^([^?]*)', 1) AS head, regexp_extract(a, '^[^?]*[?]([^#]*)', 1) AS fields, regexp_extract(a, '^[^?]*[?][^#]*#((?s).*)', 1) AS tail FROM (SELECT record_id, content_hash, coalesce(url, '') AS a FROM page_records))"""
 
 # Text blocks in SQL: skipped elements separate, inline tags vanish, br is a blank, references are decoded.
 _SKIPPED = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("head", "script", "style", "noscript", "template", "svg"))
@@ -94,9 +95,11 @@ l AS (SELECT DISTINCT raw_html_path, site_name, substr(md5(trim(regexp_replace(l
 
 
 def oracle_sql() -> dict[str, str]:
+    pairs = f"""WITH k AS ({_CANON}), g AS (SELECT u, c, min(record_id) AS a FROM k WHERE c <> '' GROUP BY u, c)
+SELECT g.a AS record_id_a, k.record_id AS record_id_b FROM k JOIN g USING (u, c) WHERE k.record_id <> g.a"""
     return {
-        "p1_found": f"""WITH k AS ({_CANON}), g AS (SELECT u, c, min(record_id) AS a FROM k WHERE c <> '' GROUP BY u, c)
-SELECT g.a AS record_id_a, k.record_id AS record_id_b FROM k JOIN g USING (u, c) WHERE k.record_id <> g.a""",
+        "p1_found": pairs,
+        "p1_hot": pairs,
         "p1_collapsed": f"""WITH k AS ({_CANON})
 SELECT min(record_id) AS record_id, count(*) AS copies FROM k WHERE c <> '' GROUP BY u, c
 UNION ALL SELECT record_id, 1 FROM k WHERE c = ''""",

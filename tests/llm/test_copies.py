@@ -1,5 +1,4 @@
 import random
-import re
 
 from pagemill.llm import copies
 
@@ -18,7 +17,8 @@ def brute(items):
     for i, u, h in items:
         if squeeze(h):
             base, _, q = (u or "").partition("?")
-            fields = sorted(f for f in map(squeeze, re.split("&", q.split("#")[0])) if f)
+            q = q.split("#")[0].replace("&amp;", "&")
+            fields = sorted(f for part in q.split("&") for f in map(squeeze, part.split(";")) if f)
             groups.setdefault((squeeze(base), tuple(fields), squeeze(h)), []).append(i)
     return {(min(g), x) for g in groups.values() for x in g if x != min(g)}
 
@@ -30,7 +30,7 @@ def spellings(n, seed):
         k = 0 if r.random() < 0.4 else r.randrange(30)
         q = [f"a={k % 3}", "b=x", "c=Y"]
         r.shuffle(q)
-        u = f"https://Host.example/p-{k}?{'&'.join(q)}"
+        u = f"https://Host.example/p-{k}?{r.choice(['&', ';', '&amp;']).join(q)}"
         u = r.choice([u, u.upper(), f" <{u}> ", u.replace("/p-", "//p_"), u + "#"])
         h = f"{k:04x}ab"
         h = r.choice([h, h.upper(), h[:2] + "-" + h[2:], None, "", " - "]) if r.random() < 0.5 else h
@@ -68,3 +68,8 @@ def test_long_values(spark):
     u = "https://h.example/" + "a-" * 200_000
     df = spark.createDataFrame(rows((1, u, "x" * 100_000), (2, u.upper(), "X" * 100_000)), SCHEMA)
     assert [tuple(r) for r in copies.copies(df).collect()] == [(1, 2)]
+
+
+def test_fields_set_apart_by_semicolons(spark):
+    items = [(1, "https://h.example/a?os=linux;tab=ui;lang=en", "f0"), (2, "https://h.example/a?lang=en&os=linux&tab=ui", "F-0"), (3, "https://h.example/a?lang=en&amp;tab=ui;os=linux", "f0"), (4, "https://h.example/a?lang=en", "f0")]
+    assert {tuple(r) for r in copies.copies(spark.createDataFrame(rows(*items), SCHEMA)).collect()} == {(1, 2), (1, 3)}
