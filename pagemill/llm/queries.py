@@ -93,6 +93,12 @@ _BLOCKS = rf"""t AS (SELECT raw_html_path, site_name, regexp_replace(regexp_repl
 p AS (SELECT raw_html_path, site_name, unnest(regexp_split_to_array(h, '</?[a-zA-Z][^>]*>')) AS part FROM t),
 l AS (SELECT DISTINCT raw_html_path, site_name, substr(md5(trim(regexp_replace(lower({_DECODED}), '{_WS}+', ' ', 'g'), ' ')), 1, 16) AS line_key FROM p WHERE trim(regexp_replace({_DECODED}, '{_WS}+', ' ', 'g'), ' ') <> '')"""
 
+# Runs of 12 words of documents and test items.
+_GRAMS = r"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+bg AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b))"""
+
 
 def oracle_sql() -> dict[str, str]:
     pairs = f"""WITH k AS ({_CANON}), g AS (SELECT u, c, min(record_id) AS a FROM k WHERE c <> '' GROUP BY u, c)
@@ -112,9 +118,13 @@ o AS (SELECT raw_html_path, site_name, unnest(regexp_split_to_array(h, '</?[a-zA
 w AS (SELECT raw_html_path, site_name, pos, trim(regexp_replace({_DECODED}, '{_WS}+', ' ', 'g'), ' ') AS line FROM o),
 m AS (SELECT w.*, k.line_key IS NOT NULL AS bad FROM w LEFT JOIN k ON k.site_name = w.site_name AND k.line_key = substr(md5(lower(line)), 1, 16) WHERE line <> '')
 SELECT r.raw_html_path, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text, count(*) FILTER (bad) AS lines_removed FROM raw_html r LEFT JOIN m USING (raw_html_path) GROUP BY 1""",
-        "p6_found": r"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
-dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
-bg AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b))
+        "p6_found": f"""{_GRAMS}
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
+        "p6_cleaned": f"""{_GRAMS},
+hit AS (SELECT DISTINCT doc_id, i FROM dg JOIN bg USING (g)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 12)) AS k FROM hit),
+glue AS (SELECT DISTINCT doc_id, unnest(range(i, i + 11)) AS k FROM hit),
+cut AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS word, unnest(range(1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) + 1)) AS k, unnest(regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+')[2:]) AS gap FROM documents WHERE doc_id IN (SELECT doc_id FROM hit)),
+rest AS (SELECT doc_id, count(g.k) AS covered, count(*) AS n, string_agg(CASE WHEN g.k IS NULL THEN word ELSE '' END || CASE WHEN u.k IS NULL THEN gap ELSE '' END, '' ORDER BY cut.k) AS tail FROM cut LEFT JOIN gone g USING (doc_id, k) LEFT JOIN glue u USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN text WHEN covered > 0.5 * n THEN NULL ELSE regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+')[1] || tail END AS text FROM documents LEFT JOIN rest USING (doc_id)""",
     }

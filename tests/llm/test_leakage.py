@@ -36,6 +36,11 @@ def test_documents_and_items(spark):
     assert got == [(1, 10, 12), (1, 10, 12), (1, 13, 12), (1, 13, 12)]
     parts = sorted((r.doc_id, r.item_id) for r in leakage.leaks(d, b, max_bytes=1).collect())
     assert parts == [(1, 10), (1, 10), (1, 13), (1, 13)]
+    for many in ({}, {"max_bytes": 1}):
+        shares = {(r.doc_id, r.item_id, r.covered) for r in leakage.leaks(d, b, **many).collect()}
+        assert shares == {(1, 10, 12 / 14), (1, 13, 12 / 14), (1, 10, 1.0), (1, 13, 1.0)}
+    once, parted = (sorted(((r.doc_id, r.text) for r in leakage.without_leaks(d, b, max_covered=0.9, **x).collect()), key=repr) for x in ({}, {"max_bytes": 1}))
+    assert once == parted and (1, "x  y") in once
     cleaned = {(r.doc_id, r.text) for r in leakage.without_leaks(d, b).collect()}
     assert (4, "") in cleaned and (3, None) in cleaned and (1, None) in cleaned
 
@@ -47,3 +52,19 @@ def test_empty_tables_and_long_text(spark):
     assert leakage.leaks(none_d, b).count() == 0
     assert leakage.leaks(d, none_b).count() == 0
     assert [tuple(r)[:2] for r in leakage.leaks(d, b).collect()] == [(1, 1)]
+
+
+def test_spans_of_several_parts_are_united(spark):
+    a, b = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(13))
+    d = spark.createDataFrame([(1, f"x {a} {b} y z", 0, "")], DOCS)
+    items = spark.createDataFrame([(1, a, 0), (2, f"{a.split()[-1]} {b}", 0)], ITEMS)
+    got = {tuple(r) for r in leakage.leaks(d, items, max_bytes=1).collect()}
+    assert got == {(1, 1, 14, 27 / 30), (1, 2, 14, 27 / 30)} == {tuple(r) for r in leakage.leaks(d, items).collect()}
+    assert leakage.without_leaks(d, items, max_covered=0.95, max_bytes=1).first().text == "x  y z"
+
+
+def test_automaton_size_is_bounded_by_words():
+    items = [(i, " ".join(f"w{(i * 37 + k * k) % 500}" for k in range(200))) for i in range(40)]
+    sam = leakage.SuffixAutomaton(items, 12)
+    assert len(sam.next) <= 2 * 40 * 200 + 1
+    assert sum(map(len, sam.items.values())) <= 40 * 200
