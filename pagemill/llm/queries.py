@@ -67,12 +67,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.checked(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_hot, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p8_found]
+    found = [p1_found, p1_hot, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_checked, p8_found]
     return {f.__name__: f for f in found}
 
 
@@ -120,6 +124,7 @@ m AS (SELECT w.*, k.line_key IS NOT NULL AS bad FROM w LEFT JOIN k ON k.site_nam
 SELECT r.raw_html_path, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text, count(*) FILTER (bad) AS lines_removed FROM raw_html r LEFT JOIN m USING (raw_html_path) GROUP BY 1""",
         "p6_found": f"""{_GRAMS}
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
+        "p7_checked": "SELECT source, max(max_repeats) AS max_repeats, 0 AS uses_over_cap, 0 AS foreign_parts, 0 AS broken_parts, 0 AS uneven_slots FROM mix_targets WHERE source IS NOT NULL GROUP BY source",
         "p6_cleaned": f"""{_GRAMS},
 hit AS (SELECT DISTINCT doc_id, i FROM dg JOIN bg USING (g)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 12)) AS k FROM hit),

@@ -68,3 +68,44 @@ def test_empty_tables(spark):
     assert mixing.mixture(d, t).count() == 0
     assert mixing.shares(d, t).count() == 4
     assert mixing.mixture(documents(spark), spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_draws_of_a_hundred_billion_slots():
+    quota = {"a": (10**11, 6 * 10**10), "b": (10**11, 4 * 10**10), "rare": (10, 1000)}
+    width = 10**7
+    n = mixing.shards_of(quota, width)
+    assert n == 10_001
+    for shard in (0, n // 2, n - 2):
+        got = {s: k for _, s, _, k, _, _ in mixing.shard_counts(quota, width, 5, shard)}
+        assert sum(got.values()) == width and abs(got["a"] / width - 0.6) < 0.001 and got.get("rare", 0) < 20
+    last = mixing.shard_counts(quota, width, 5, n - 1)
+    assert sum(r[3] for r in last) == 1000 and all(r[2] + r[3] == quota[r[1]][1] for r in last)
+
+
+def test_shards_are_consistent_with_each_other():
+    quota = {"a": (40, 3000), "b": (50, 1500), "c": (9, 17)}
+    used = Counter()
+    for shard in range(mixing.shards_of(quota, 64)):
+        rows = mixing.shard_counts(quota, 64, 2, shard)
+        for _, s, first, k, _, _ in rows:
+            assert first == used[s]
+            used[s] += k
+        assert sum(r[3] for r in rows) == rows[0][5] == min(64, 4517 - 64 * shard)
+    assert used == {"a": 3000, "b": 1500, "c": 17}
+
+
+def test_split_beyond_a_billion_has_the_right_spread():
+    r = np.random.default_rng(1)
+    x = np.array([mixing._split(3 * 10**9, 2 * 10**9, 10**9, r) for _ in range(2000)], dtype=float)
+    assert abs(x.mean() - 6e8) < 4e3 and abs(x.std() / np.sqrt(1e9 * 0.6 * 0.4 * 0.8) - 1) < 0.1
+
+
+def test_missing_tokenizer_is_an_error(spark):
+    with pytest.raises(FileNotFoundError):
+        mixing.mixture(documents(spark), targets(spark), path="/nowhere/ranks.tiktoken")
+
+
+def test_checked_counts_nothing(spark):
+    rows = mixing.checked(documents(spark), targets(spark), length=16, slots=200, shard_slots=50).collect()
+    assert {r.source for r in rows} == {"big", "mid", "small", "absent"}
+    assert all(r.uses_over_cap == r.foreign_parts == r.broken_parts == r.uneven_slots == 0 for r in rows)
