@@ -39,6 +39,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.excessive(table(spark, d, "raw_html"))
 
 
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.blocks(table(spark, d, "raw_html"))
+
+
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_excessive(table(spark, d, "raw_html"))
 
@@ -76,7 +80,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_hot, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_checked, p8_found]
+    found = [p1_found, p1_hot, p1_collapsed, p2_found, p2_template, p3_found, p4_found, p4_cleaned, p4_blocks, p5_found, p5_text, p6_found, p6_cleaned, p7_mixture, p7_shares, p7_checked, p8_found]
     return {f.__name__: f for f in found}
 
 
@@ -122,6 +126,15 @@ o AS (SELECT raw_html_path, site_name, unnest(regexp_split_to_array(h, '</?[a-zA
 w AS (SELECT raw_html_path, site_name, pos, trim(regexp_replace({_DECODED}, '{_WS}+', ' ', 'g'), ' ') AS line FROM o),
 m AS (SELECT w.*, k.line_key IS NOT NULL AS bad FROM w LEFT JOIN k ON k.site_name = w.site_name AND k.line_key = substr(md5(lower(line)), 1, 16) WHERE line <> '')
 SELECT r.raw_html_path, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text, count(*) FILTER (bad) AS lines_removed FROM raw_html r LEFT JOIN m USING (raw_html_path) GROUP BY 1""",
+        "p4_blocks": f"""WITH RECURSIVE {_BLOCKS}, n AS (SELECT site_name, count(*) AS total FROM raw_html GROUP BY 1),
+k AS (SELECT site_name, line_key, greatest(5, 0.12 * any_value(total)) AS least FROM l JOIN n USING (site_name) GROUP BY site_name, line_key, total HAVING count(*) >= 5 AND count(*) >= 0.12 * total),
+o AS (SELECT raw_html_path, site_name, unnest(regexp_split_to_array(h, '</?[a-zA-Z][^>]*>')) AS part, generate_subscripts(regexp_split_to_array(h, '</?[a-zA-Z][^>]*>'), 1) AS pos FROM t),
+w AS (SELECT raw_html_path, site_name, row_number() OVER (PARTITION BY raw_html_path ORDER BY pos) AS pos, substr(md5(lower(line)), 1, 16) AS line_key FROM (SELECT *, trim(regexp_replace({_DECODED}, '{_WS}+', ' ', 'g'), ' ') AS line FROM o) WHERE line <> ''),
+e AS (SELECT x.site_name, x.line_key AS a, y.line_key AS b FROM w x JOIN w y ON x.raw_html_path = y.raw_html_path AND y.pos = x.pos + 1 JOIN k kx ON kx.site_name = x.site_name AND kx.line_key = x.line_key JOIN k ky ON ky.site_name = x.site_name AND ky.line_key = y.line_key GROUP BY 1, 2, 3, kx.least HAVING count(DISTINCT x.raw_html_path) >= kx.least - 1e-9),
+u AS (SELECT site_name, a, b FROM e UNION SELECT site_name, b, a FROM e),
+r AS (SELECT site_name, line_key AS a, line_key AS b FROM k UNION SELECT r.site_name, r.a, u.b FROM r JOIN u ON u.site_name = r.site_name AND u.a = r.b),
+c AS (SELECT site_name, a AS line_key, min(b) AS block_key, count(*) AS lines FROM r GROUP BY 1, 2)
+SELECT coalesce(site_name, '') AS site_name, line_key, block_key, lines FROM c""",
         "p6_found": f"""{_GRAMS}
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
         "p7_checked": "SELECT source, max(max_repeats) AS max_repeats, 0 AS uses_over_cap, 0 AS foreign_parts, 0 AS broken_parts, 0 AS uneven_slots FROM mix_targets WHERE source IS NOT NULL GROUP BY source",

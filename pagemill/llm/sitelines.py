@@ -3,8 +3,10 @@
 A line is a text block. Per site the lines form a weighted graph: a node weighs the number
 of files that hold the line, an edge the number of files in which its two lines follow
 one another. Nodes of high support are kept, the edges of high support between them link
-them, and a connected component is one boilerplate block. Every occurrence of a kept line
-is deleted from the site's pages.
+them, and a connected component is one boilerplate block; a kept line without such an edge is a
+block by itself. An occurrence of a block is a longest run of consecutive lines of a page that
+belong to it; every occurrence is deleted as a whole. By the problem's definition each kept line is excessive,
+so the lines of all blocks are the excessive ones.
 
 Bounds: a site's kept nodes are at most (lines per file) / share, whatever the site's size,
 since each kept line stands on that share of its files; so a site's graph fits in one task. Lines are
@@ -53,11 +55,15 @@ def by_site(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("site").agg(F.first("total").alias("total"), F.collect_set("key").alias("kept"), F.first("least").alias("least"))
 
 
+def _unsigned(k: int) -> int:
+    return k & 0xFFFFFFFFFFFFFFFF
+
+
 def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
         for site, total, kept, edges in zip(*(b.column(c).to_pylist() for c in ("site", "total", "kept", "edges"))):
-            root = {k: k for k in kept}
+            root = {k: k for k in kept}  # of a block its smallest key, as unsigned numbers
 
             def find(k: int) -> int:
                 while root[k] != k:
@@ -68,7 +74,7 @@ def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e in edges or ():
                 x, y = find(e["a"]), find(e["b"])
                 if x != y:
-                    root[max(x, y)] = min(x, y)
+                    root[max(x, y, key=_unsigned)] = min(x, y, key=_unsigned)
             out += [(site, total, k, find(k)) for k in kept]
         s, t, k, c = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(t, pa.int64()), pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["site", "total", "key", "block"])
@@ -88,9 +94,10 @@ def boilerplate_blocks(found: DataFrame, min_files: int = MIN_FILES, min_share:
 
 
 def _kept(found: DataFrame, min_files: int, min_share: float, **limits: int) -> tuple[DataFrame, int]:
-    """(site, total, kept) of the components' lines, and the bytes they hold together."""
+    """(site, total, kept, blocks) of the components' lines, line and block at the same place, and the bytes they hold together."""
     blocks = checkpoint(boilerplate_blocks(found, min_files, min_share, **limits))
-    return blocks.groupBy("site").agg(F.first("total").alias("total"), F.collect_set("key").alias("kept")), 8 * blocks.count()
+    lists = blocks.groupBy("site").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("key", "block"))).alias("b"))
+    return lists.select("site", "total", F.col("b.key").alias("kept"), F.col("b.block").alias("blocks")), 16 * blocks.count()
 
 
 def hex_key(c) -> object:
@@ -105,15 +112,38 @@ def excessive(pages: DataFrame, min_files: int = MIN_FILES, min_share: float = M
     return hit.select(F.col("path").alias("raw_html_path"), hex_key(F.col("key")).alias("line_key"))
 
 
+def occurrences(keys: list[int], block_of: dict[int, int]) -> list[tuple[int, int]]:
+    """(start, end) of every block's occurrences: longest runs of lines of one block."""
+    out: list[tuple[int, int]] = []
+    last = None
+    for i, k in enumerate(keys):
+        block = block_of.get(k)
+        if block is not None:
+            if block == last:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((i, i + 1))
+        last = block
+    return out
+
+
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict = {}
     for b in batches:
         texts, removed = [], []
-        for page, kept in zip(b.column("html").to_pylist(), b.column("kept").to_pylist()):
-            drop = set(kept or ())
-            all_ = text_blocks(page)
-            left = [" ".join(t.split()) for t in all_ if key64(t) not in drop]
-            texts.append("\n".join(left))
-            removed.append(len(all_) - len(left))
+        for i, (page, site) in enumerate(zip(b.column("html").to_pylist(), b.column("site").to_pylist())):
+            if site not in held:
+                if len(held) > 512:
+                    held.clear()
+                held[site] = dict(zip(b.column("kept")[i].as_py() or (), b.column("blocks")[i].as_py() or ()))
+            lines_ = text_blocks(page)
+            left, pos = [], 0
+            for start, end in occurrences([key64(t) for t in lines_], held[site]):
+                left += lines_[pos:start]
+                pos = end
+            left += lines_[pos:]
+            texts.append("\n".join(" ".join(t.split()) for t in left))
+            removed.append(len(lines_) - len(left))
         yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["raw_html_path", "text", "lines_removed"])
 
 
@@ -123,4 +153,11 @@ def without_excessive(pages: DataFrame, min_files: int = MIN_FILES, min_share: f
     per_site, held = _kept(found, min_files, min_share, **limits)
     p = pages.select(F.col("raw_html_path").alias("path"), F.coalesce("site_name", F.lit("")).alias("site"), "html")
     met = meet(spread(p), per_site, "site", ["path", "html"], held, **limits)
-    return met.select("path", "html", "kept").mapInArrow(_delete, "raw_html_path string, text string, lines_removed long")
+    return met.select("path", "site", "html", "kept", "blocks").mapInArrow(_delete, "raw_html_path string, text string, lines_removed long")
+
+
+def blocks(pages: DataFrame, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, **limits: int) -> DataFrame:
+    """(site_name, line_key, block_key, lines): every excessive line with its block, named by its smallest line, and the block's lines."""
+    found = boilerplate_blocks(checkpoint(lines(pages)), min_files, min_share, **limits)
+    sizes = found.groupBy("site", "block").agg(F.count(F.lit(1)).alias("lines"))
+    return found.join(sizes, ["site", "block"]).select(F.col("site").alias("site_name"), hex_key(F.col("key")).alias("line_key"), hex_key(F.col("block")).alias("block_key"), "lines")

@@ -47,3 +47,15 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sitelines.excessive(empty).count() == 0
     assert sitelines.without_excessive(empty).count() == 0
+
+
+def test_occurrences_are_runs_of_one_block():
+    assert sitelines.occurrences([1, 2, 9, 2, 1, 3, 3, 8], {1: 1, 2: 1, 3: 3}) == [(0, 2), (3, 5), (5, 7)]
+    assert sitelines.occurrences([], {}) == []
+
+
+def test_blocks_table(spark):
+    rows = [(f"p{i}", "s", page("one", "two", f"own {i}", "three"), "", 0, "") for i in range(10)]
+    got = sitelines.blocks(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.lines for r in got) == [1, 2, 2] and len({r.block_key for r in got}) == 2
+    assert sitelines.blocks(spark.createDataFrame([], SCHEMA)).count() == 0
