@@ -1,13 +1,15 @@
 """HTML, Markdown, wiki and LaTeX markup to clean text whose structure stays known.
 
-A body is taken apart into candidate nodes: elements, marked lines, fenced, indented and
+A text body is taken apart into candidate nodes: elements, marked lines, fenced, indented and
 verbatim regions and delimited formulas. Gradient-boosted trees decide from a node's
 features (its form and marks, the dialect of the whole body, content statistics, borders,
-neighbours, depth, attribute tokens, link density) whether it is a heading, an item, code,
+neighbours, depth, attribute tokens) whether it is a heading, an item, code,
 a formula or none of these. Decoding goes from the outside in: an accepted code region
 hides everything in it, a rejected one is opened again, so an ancestor and its descendant
 never contradict each other. The trees are fitted on documents that the module composes
 itself, with known structure and look-alikes (prices, rules, comments, marks in code).
+Stored pages have a tree of elements already: every block-level node of their main body is a
+candidate there (pagenodes.py).
 
 Null, empty and blank bodies hold no elements; a front matter holds none either.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import template
+from . import pagenodes, template
 from .gbt import Boosted
 from .htmlblocks import key64, norm, parse
 
@@ -64,9 +66,6 @@ _INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 
 
-_FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\[\]\n]*\])?\{[^{}\n]*\}(?:\[[^\[\]\n]*\]|\{[^{}\n]*\})*")
-
-
 _INDENTED = re.compile(r"^(?:    |\t).*$", re.M)
 _INDENT_REGION = re.compile(r"^(?: {4}|\t)[ \t]*\S[^\n]*(?:\n+(?:[ \t]*\n)*(?: {4}|\t)[ \t]*\S[^\n]*)*", re.M)
 _TRAIL = re.compile(r"(?:(?:^|\s+)#+\s*|\s*\{[#.:][^{}]*\}\s*)+$")
@@ -77,6 +76,7 @@ _FRAME = re.compile(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\[\]\n]*\])
 _MD_SIGNS = re.compile(r"^#{2,6} \S|^.*\S\n(?:-{3,}|={3,})[ \t]*$|\]\([^)\n]*\)|\*\*\S|^[-+] \S|^\d+\. \S|^\$\$|`\S", re.M)
 _WIKI_HEADS = re.compile(r"^(=+)[^=\n]+\1\s*$", re.M)
 _WIKI_SIGNS = re.compile(r"'{2,3}\S|\[\[|^\{\||\[https?://\S+ |^\{\{[^{#]|</?(?:ref|math|nowiki)\b", re.M)
+_TEX_COMMAND = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{((?:[^{}\\]|\\.)*)\}")
 _TEX_SIGNS = re.compile(r"\\(?:sub)*section\*?\{|\\(?:begin|end|item|textbf|emph|texttt|href|cite|label|documentclass)\b")
 _HTML_SIGNS = re.compile(r"</(?:p|h[1-6]|li|ul|table|pre|div)>", re.I)
 
@@ -124,10 +124,9 @@ def clean(text: str, d: tuple) -> str:
             text = re.sub(r"(?<!\\)%.*", "", text)
             text = re.sub(r"~?\\(?:cite[a-z]*|label|ref|footnote|index)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
             text = re.sub(r"\\href\{[^{}]*\}\{", r"\\emph{", text)
-            for _ in range(4):
-                text, n = re.subn(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{((?:[^{}\\]|\\.)*)\}", r"\1", text)
-                if not n:
-                    break
+            n = 1
+            while n:  # from the inside out, one level a turn
+                text, n = _TEX_COMMAND.subn(r"\1", text)
             text = text.replace("~", " ")
             text = re.sub(r"\\([#$%&_{}])", r"\1", text)
         else:
@@ -160,8 +159,8 @@ def _blank(m_or_text: str) -> str:
 class Model:
     """Candidate extraction and decoding with the fitted trees; without trees it collects candidates."""
 
-    def __init__(self, trees: Boosted | None = None):
-        self.trees = trees
+    def __init__(self, trees: Boosted | None = None, nodes: Boosted | None = None):
+        self.trees, self.nodes = trees, nodes
         self.seen: list[tuple[tuple[int, ...], str, str]] = []
 
     def decide(self, form: str, kind: str, text: str, row: tuple[int, ...]) -> bool:
@@ -368,29 +367,7 @@ class Model:
         chrome = template.is_chrome(nodes, blocks, site)
         out: list[tuple[int, str, str]] = []
         d = (0, 0, 0, 3, 0)
-        refused: set[int] = set()
-        kinds: dict[int, str] = {}
-        for _ in range(4):  # from the outside in: a refused node is opened again
-            owner = _owners(nodes, refused)
-            held: dict[int, list[int]] = {}
-            for k, (b, c) in enumerate(zip(blocks, chrome)):
-                if not c and owner[b.node] >= 0:
-                    held.setdefault(owner[b.node], []).append(k)
-            more = False
-            for i, ks in held.items():
-                if i not in kinds:
-                    form, kind = _NODE_FORMS[nodes[i].tag]
-                    own = [blocks[k] for k in ks]
-                    text = ("\n" if kind == "code" else " ").join(b.text for b in own)
-                    linked = 3 if all(b.full_link for b in own) else int(any(b.linked for b in own))
-                    attrs = nodes[i].cls + " ".join(own[0].inner[:1])
-                    accepted = self.decide(form, kind, text if kind == "code" else " ".join(text.split()), features(form, text, d, attrs=attrs, depth=nodes[i].depth if kind == "code" else 1, linked=linked))
-                    kinds[i] = kind if accepted else "text"
-                    if not accepted:
-                        refused.add(i)
-                        more = True
-            if not more:
-                break
+        owner, kinds = pagenodes.decode(pagenodes.View(nodes, blocks, chrome), self.nodes)
         parts: dict[int, list[str]] = {}
         at: dict[int, int] = {}
         for k, (b, c) in enumerate(zip(blocks, chrome)):
@@ -422,17 +399,6 @@ def _item_end(lines: list[str], blank: list[bool], marks: list[str], i: int) ->
 
 
 _OWN_LINE = re.compile(r"[ \t]*(?:#{1,6}[ \t]|[>|<]|={1,6}[^=]|\$\$|\\(?:\[|begin|end|(?:sub)*section|paragraph|chapter|part)|(?:[-*_][ \t]*){3,}$|`{3}|~{3}|\{[%|]|=+[ \t]*$)")
-_NODE_FORMS = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), ("htmlhead", "heading")), "li": ("li", "item"), "pre": ("pre", "code")}
-
-
-def _owners(nodes: list, refused: set[int]) -> list[int]:
-    """For every element the one whose text its blocks belong to, or -1: the outermost pre, else the nearest item or heading."""
-    out = [-1] * len(nodes)
-    for i, n in enumerate(nodes):
-        up = out[n.parent] if n.parent >= 0 else -1
-        out[i] = i if n.tag in _NODE_FORMS and i not in refused and (up < 0 or nodes[up].tag != "pre") else up
-    return out
-
 
 def _braced(line: str, i: int) -> str:
     """The text up to the brace that closes the one before position i."""
@@ -538,18 +504,12 @@ def fit(documents: int = 1200, seed: int = 7) -> Model:
         for row, kind, text in m.seen:
             rows.append(row)
             labels.append(kind if (kind, norm(text)) in true else "none")
-    rows += [features("htmlhead", _sentence(r), (0, 0, 0, 3, 0), depth=1, linked=k % 3) for k in range(60)]
-    labels += ["heading"] * 60
-    rows += [features("li", _sentence(r), (0, 0, 0, 3, 0), depth=1, linked=k % 3) for k in range(60)]
-    labels += ["item"] * 60
-    for k in range(60):
-        rows.append(features("pre", "x = 1\ny < 2", (0, 0, 0, 3, 0), depth=k % 8, attrs="code" * (k % 2)))
-        labels.append("code")
+    for k in range(60):  # formulas in the text of pages
         rows.append(features(("dollars", "bracket", "paren", "dollar")[k % 4], r.choice(_TEX), (0, 0, 0, 3, 0)))
         labels.append("formula")
         rows.append(features("dollar", f"{k} per month, and {_sentence(r)} costs ", (0, 0, 0, 3, 0), right=str(k)))
         labels.append("none")
-    return Model(Boosted.fit(rows, labels, CLASSES))
+    return Model(Boosted.fit(rows, labels, CLASSES), pagenodes.fit())
 
 
 def _bodies(model: Model, text: bool):

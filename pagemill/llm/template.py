@@ -289,7 +289,7 @@ def is_chrome(nodes: list[Node], blocks: list[Block], site: dict, rescue: bool =
     Where nothing but headings would be left, ``rescue`` keeps the texts in the main slot that are not on
     nearly all pages, and failing that what stands in its optional slots without being template text.
     """
-    flow, often, main, optional = site["blocks"], site["often"], site["main"], site["optional"]
+    flow, often, main, optional = site["blocks"], site["often"], site["main"], site.get("optional", ())
     where = containers(nodes)
     best = -1
     for i, n in enumerate(nodes):
