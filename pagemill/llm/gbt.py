@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 BINS = 32
@@ -48,6 +50,33 @@ class Boosted:
             out.append(s)
         return out
 
+    def learn(self, rows: Iterable[tuple[int, ...]]) -> None:
+        """Predict many rows at once and remember them."""
+        if len(self.cache) > 200_000:
+            self.cache.clear()
+        new = [r for r in dict.fromkeys(rows) if r not in self.cache]
+        if not new:
+            return
+        x = np.array(new, dtype=np.int64)
+        scores = np.empty((len(new), len(self.classes)))
+        each = np.arange(len(new))
+        for k, (own, b) in enumerate(zip(self.trees, self.base)):
+            s = np.full(len(new), b)
+            for tree in own:
+                # feature, bound, left, right; a leaf leads to itself and holds its value apart
+                flat = np.array([(0, BINS, i, i) if t[0] < 0 else t for i, t in enumerate(tree)], dtype=np.int64)
+                value = np.array([t[1] if t[0] < 0 else 0.0 for t in tree])
+                at = np.zeros(len(new), dtype=np.int64)
+                while True:
+                    f, bound, left, right = flat[at].T
+                    to = np.where(x[each, f] <= bound, left, right)
+                    if (to == at).all():
+                        break
+                    at = to
+                s += value[at]
+            scores[:, k] = s
+        self.cache.update(zip(new, (self.classes[i] for i in scores.argmax(1))))
+
     def predict(self, row: tuple[int, ...]) -> str:
         best = self.cache.get(row)
         if best is None:

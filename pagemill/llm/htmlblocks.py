@@ -39,6 +39,7 @@ def _skipped(m: re.Match) -> str:
     return "<p>" if m[0][1] not in "!?" else ""
 
 
+_DIGITS = re.compile(r"\d+")
 _KEY = struct.Struct(">q8x").unpack
 
 
@@ -118,11 +119,12 @@ _SIBLINGS = {
 class Block:
     """A text block: text, element that holds it, and the share of it inside links."""
 
-    __slots__ = ("text", "node", "linked", "chars", "inner", "_norm", "full_link")
+    __slots__ = ("text", "node", "linked", "chars", "inner", "_norm", "_masked", "full_link")
 
     def __init__(self, text: str, node: int, linked: int, chars: int, inner: list):
         self.text, self.node, self.linked, self.chars, self.inner = text, node, linked, chars, inner
         self._norm: str | None = None
+        self._masked: str | None = None
         self.full_link = 0 < chars <= linked
 
     @property
@@ -133,6 +135,15 @@ class Block:
         return n
 
 
+    @property
+    def masked(self) -> str:
+        """The normal form with every number a #."""
+        m = self._masked
+        if m is None:
+            m = self._masked = _DIGITS.sub("#", self.norm)
+        return m
+
+
 class Node:
     __slots__ = ("tag", "cls", "parent", "depth", "kids", "index")
 

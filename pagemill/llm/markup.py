@@ -20,6 +20,7 @@ import html as _html
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -361,13 +362,21 @@ class Model:
             text = text[:a] + _blank(text[a:b]) + text[b:]
         return text
 
-    def page_elements(self, page: str | None, site: dict, between: bool = True) -> list[tuple[int, str, str]]:
-        """The same for the main body of a stored page, over its element tree."""
+    def page_view(self, page: str | None, site: dict) -> tuple[pagenodes.View, list[bool]]:
+        """The nodes of a stored page, and which of its blocks are chrome."""
         nodes, blocks = parse(page)
         chrome = template.is_chrome(nodes, blocks, site)
+        return pagenodes.View(nodes, blocks, chrome), chrome
+
+    def page_elements(self, page: str | None, site: dict, between: bool = True) -> list[tuple[int, str, str]]:
+        """The same for the main body of a stored page, over its element tree."""
+        return self.view_elements(*self.page_view(page, site), between)
+
+    def view_elements(self, view: pagenodes.View, chrome: list[bool], between: bool = True) -> list[tuple[int, str, str]]:
+        blocks = view.blocks
         out: list[tuple[int, str, str]] = []
         d = (0, 0, 0, 3, 0)
-        owner, kinds = pagenodes.decode(pagenodes.View(nodes, blocks, chrome), self.nodes)
+        owner, kinds = pagenodes.decode(view, self.nodes)
         parts: dict[int, list[str]] = {}
         at: dict[int, int] = {}
         for k, (b, c) in enumerate(zip(blocks, chrome)):
@@ -524,7 +533,11 @@ def _pages(model: Model, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            yield _emit(b.column("path").to_pylist(), (model.page_elements(h, s, text) for h, s in zip(b.column("html").to_pylist(), template.Sites(b, held))), text)
+            pages = zip(b.column("path").to_pylist(), b.column("html").to_pylist(), template.Sites(b, held))
+            while part := list(islice(pages, 64)):  # whose nodes are classified together
+                views = [model.page_view(h, s) for _, h, s in part]
+                model.nodes.learn(row for v, _ in views for row in v.rows())
+                yield _emit([p for p, _, _ in part], (model.view_elements(v, c, text) for v, c in views), text)
 
     return run
 

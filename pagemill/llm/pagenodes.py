@@ -16,6 +16,8 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from collections import Counter
+from functools import lru_cache
 
 from .gbt import Boosted
 from .htmlblocks import Block, Node, parse
@@ -44,6 +46,10 @@ class View:
     def __init__(self, nodes: list[Node], blocks: list[Block], chrome: list[bool]):
         n = len(nodes)
         self.nodes, self.blocks = nodes, blocks
+        self.tags = [_TAG.get(x.tag, _OTHER) for x in nodes]
+        self.leads: dict[int, tuple] = {}
+        self.same: dict[int, Counter] = {}
+        self.known: dict[int, tuple[int, ...]] = {}
         self.first: list[int] = [-1] * n
         self.chars, self.linked, self.texts = [0] * n, [0] * n, [0] * n
         self.below, self.deep = [0] * n, [0] * n
@@ -68,33 +74,55 @@ class View:
                 self.first[up] = self.first[i]
             self.deep[up] = max(self.deep[up], self.deep[i] + 1)
 
+    def _lead(self, i: int) -> tuple[str, int, int, int, int]:
+        """Of the first text block of a node its inline attributes, lines, words, end mark and marks of code or weight."""
+        k = self.first[i]
+        got = self.leads.get(k)
+        if got is None:
+            b = self.blocks[k]
+            text = b.text.strip()
+            inner = " ".join(b.inner).lower() if b.inner else ""
+            got = self.leads[k] = (inner, _bucket(text.count("\n")), _bucket(text.count(" ") + 1), int(text[-1:] in ".?!。:"), int("code" in inner) + 2 * int("strong" in inner or inner.startswith("b")))
+        return got
+
+    def rows(self) -> list[tuple[int, ...]]:
+        """The features of all nodes that hold main text, kept for the decoding."""
+        self.known = {i: self.row(i) for i, k in enumerate(self.first) if k >= 0}
+        return list(self.known.values())
+
     def row(self, i: int) -> tuple[int, ...]:
-        nodes = self.nodes
+        got = self.known.get(i)
+        return self._row(i) if got is None else got
+
+    def _row(self, i: int) -> tuple[int, ...]:
+        nodes, tags = self.nodes, self.tags
         n = nodes[i]
-        tag = _TAG.get(n.tag, _OTHER)
-        up = nodes[n.parent] if n.parent >= 0 else n
-        over = nodes[up.parent] if up.parent >= 0 else up
-        around = self.kids[n.parent] if n.parent >= 0 else []
-        same = sum(nodes[k].tag == n.tag for k in around)
-        at = n.index
-        before = _TAG.get(nodes[around[at - 1]].tag, _OTHER) if 0 < at < len(around) else 31
-        after = _TAG.get(nodes[around[at + 1]].tag, _OTHER) if at + 1 < len(around) else 31
-        own = self.kids[i]
-        tags = [nodes[k].tag for k in own]
-        b = self.blocks[self.first[i]]
-        text = b.text.strip()
-        inner = " ".join(b.inner).lower()
-        attrs = (n.cls + " " + inner).lower()
-        flags = sum(1 << k for k, a in enumerate(_ATTRS) if a.search(attrs))
-        chars = self.chars[i]
+        up = max(n.parent, 0)
+        around, own, at = self.kids[up], self.kids[i], n.index
+        same = self.same.get(up)
+        if same is None:
+            same = self.same[up] = Counter(tags[k] for k in around)
+        chars, below = self.chars[i], self.below[i]
+        inner, lines, words, mark, weight = self._lead(i)
+        held = [tags[k] for k in own]
         return (
-            tag, _TAG.get(up.tag, _OTHER), _TAG.get(over.tag, _OTHER), min(31, n.depth), _bucket(self.below[i]), _bucket(chars // (1 + self.below[i])),
-            _bucket(self.texts[i]), _bucket(chars), 4 * self.linked[i] // max(1, chars), _bucket(len(around)), min(7, at), _bucket(same), before, after,
-            flags, _bucket(text.count("\n")), _bucket(text.count(" ") + 1), int(text[-1:] in ".?!。:"), int("code" in inner) + 2 * int("strong" in inner or inner.startswith("b")),
-            min(3, tags.count("li")), min(3, tags.count("p")), int("pre" in tags), min(3, len(own)), min(7, self.deep[i]),
+            tags[i], tags[up], tags[max(nodes[up].parent, 0)], min(31, n.depth), _bucket(below), _bucket(chars // (1 + below)),
+            _bucket(self.texts[i]), _bucket(chars), 4 * self.linked[i] // max(1, chars), _bucket(len(around)), min(7, at), _bucket(same[tags[i]]),
+            tags[around[at - 1]] if 0 < at < len(around) else 31, tags[around[at + 1]] if at + 1 < len(around) else 31,
+            _flags(n.cls, inner), lines, words, mark, weight,
+            min(3, held.count(_LI)), min(3, held.count(_P)), int(_PRE in held), min(3, len(own)), min(7, self.deep[i]),
         )
 
 
+_LI, _P, _PRE = _TAG["li"], _TAG["p"], _TAG["pre"]
+
+
+@lru_cache(100_000)
+def _flags(cls: str, inner: str) -> int:
+    attrs = f"{cls} {inner}".lower()
+    return sum(1 << k for k, a in enumerate(_ATTRS) if a.search(attrs))
+
+
 def decode(view: View, trees: Boosted) -> tuple[list[int], dict[int, str]]:
     """For every node the one that its text belongs to (-1: none), and the kinds of those."""
     owner = [-1] * len(view.nodes)

@@ -2,7 +2,7 @@
 
 Tokens of a page are its text blocks (the words of a constant block always come together, so
 they are one token beforehand), blocks with a slot in them (one word left open, or in long blocks
-one half), and its containers, told apart by their path. A token's occurrence vector says on which
+one half of the characters), and its containers, told apart by their path. A token's occurrence vector says on which
 pages of the site it stands, and how often; it is carried as a commutative digest, which partial
 aggregation can build. Tokens of one site with equal vectors form an equivalence class.
 
@@ -54,7 +54,6 @@ POOLED = 5
 #: Fixed value: the number of the pool among the sites.
 POOL = -1
 
-_DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _SIZE = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 _EACH_WORD = 14
@@ -69,8 +68,7 @@ def role(node: Node) -> str:
 
 
 def block_token(b: Block, r: str) -> int:
-    text = _DIGITS.sub("#", b.norm) if r == "f" else b.norm
-    return hash64(f"{r}{'@' if b.full_link else ''}|{text}")
+    return hash64(f"{r}{'@' if b.full_link else ''}|{b.masked if r == 'f' else b.norm}")
 
 
 _WORD_HASH: dict[str, int] = {}
@@ -86,12 +84,15 @@ def open_tokens(b: Block, r: str) -> list[int]:
     """
     if r != "f" or b.full_link:
         return []
-    w = _WORDS.findall(_DIGITS.sub("#", b.norm))
+    text = b.masked
+    n = text.count(" ") + 1
+    if n > _EACH_WORD:
+        half = text.find(" ", len(text) // 2)
+        return [hash64("<" + text[:half]), hash64(">" + text[half:])]
+    w = _WORDS.findall(text)
     n = len(w)
-    if n < 3 or sum(map(len, w)) < 0.7 * b.chars:
+    if not 3 <= n <= _EACH_WORD or sum(map(len, w)) < 0.7 * b.chars:
         return []  # not words for the most part
-    if n > _EACH_WORD:
-        return [hash64("<|" + " ".join(w[: n // 2])), hash64(">|" + " ".join(w[n // 2 :]))]
     parts = []
     for p, x in zip(_PLACE, w):
         h = _WORD_HASH.get(x)
@@ -188,7 +189,7 @@ def page_tokens(html: str | None) -> tuple[list[int], ...]:
     for b in blocks:
         r = role(nodes[b.node])
         up = order[where[b.node]]
-        words = len(_SIZE.findall(b.norm)) or 1
+        words = b.norm.count(" ") + 1 if b.norm.isascii() else len(_SIZE.findall(b.norm)) or 1
         for t in (block_token(b, r), *open_tokens(b, r)):
             x = found.get(t)
             if x is None:
@@ -325,12 +326,13 @@ def is_chrome(nodes: list[Node], blocks: list[Block], site: dict, rescue: bool =
 def attach(pages: DataFrame, valid: DataFrame, **limits: int) -> DataFrame:
     """Every page with its site's template, or the pool's: (s, path, html) and _SITE."""
     rows = _source(pages).withColumn("s", F.xxhash64("site"))
-    every = by_site(valid)
+    every = checkpoint(by_site(valid))  # a row a site
     own = every.where((F.col("s") != POOL) & (F.col("total") >= POOLED))
-    pool = every.where(F.col("s") == POOL).select(F.lit(0).alias("k"), *(F.col(c).alias(f"pool_{c}") for c in _SITE))  # one row
-    met = meet(rows, own, "s", ["path", "html"], 16 * valid.count(), **limits).withColumn("k", F.when(F.col("main").isNull(), F.lit(0)))
-    met = met.join(F.broadcast(pool), "k", "left")
-    return met.select(F.when(F.col("k").isNull(), F.col("s")).otherwise(F.lit(POOL).cast("long")).alias("s"), "path", "html", *(F.coalesce(c, f"pool_{c}").alias(c) for c in _SITE))
+    pool = every.where(F.col("s") == POOL).first()  # containers only, at most (containers a page) / BOX_SHARE of them
+    met = meet(rows, own, "s", ["path", "html"], 16 * valid.count(), **limits)
+    alone = F.col("main").isNull()
+    of_pool = {c: F.lit(list(pool[c])).cast("array<bigint>") if pool else F.lit(None).cast("array<bigint>") for c in _SITE}
+    return met.select(F.when(alone, F.lit(POOL).cast("long")).otherwise(F.col("s")).alias("s"), "path", "html", *(F.when(alone, of_pool[c]).otherwise(F.col(c)).alias(c) for c in _SITE))
 
 
 class Sites:

@@ -47,3 +47,11 @@ def test_the_trees_decide(trees):
     none = pagenodes.Boosted(pagenodes.KINDS, [[] for _ in pagenodes.KINDS], [0.0, 0.0, 0.0, 1.0])
     assert {k for _, k in kinds(none, page)} == {"text"} != {k for _, k in kinds(trees, page)}
     assert kinds(trees, "") == [] and kinds(trees, "plain") == [("plain", "text")]
+
+
+def test_many_rows_are_predicted_as_each_alone(trees):
+    rows, _ = pagenodes.examples(random.Random(8), 40)
+    alone = [pagenodes.KINDS[max(range(4), key=trees.scores(r).__getitem__)] for r in rows]
+    trees.cache.clear()
+    trees.learn(rows)
+    assert [trees.cache[r] for r in rows] == alone
