@@ -17,7 +17,10 @@ from .dom import Element, parse
 
 #: What holds line numbers, and what keeps code inline.
 GUTTERS = (".code-block-line-gutter", "td.gutter", ".linenos", ".line-number", ".code-line-row-number")
-PHRASING = frozenset("p h1 h2 h3 h4 h5 h6 li a span strong em b i u small sub sup label button figcaption dt dd".split())
+PHRASING = (
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "a", "span", "strong", "em", "b", "i", "u",
+    "small", "sub", "sup", "label", "button", "figcaption", "dt", "dd",
+)
 SHELLS = ("bash", "sh", "shell", "zsh")
 DROPPED = "script, style, noscript, iframe, svg, button, title"
 
@@ -196,9 +199,7 @@ def fenced(lang: str, code: str) -> str:
 
 def protect_code(w: Work) -> None:
     """Code blocks, several lines of code outside phrasing elements and cells, and fences in text are held aside."""
-    for pre in w.tree.select("pre"):
-        if pre.inside("pre"):
-            continue
+    for pre in w.tree.outermost("pre"):
         first = pre.first("code")
         lang = _language([pre, *([first] if first is not None else []), *([pre.parent] if pre.parent is not None else [])])
         code = block_code(pre)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,6 +92,17 @@ class Element:
     def inside(self, *tags: str) -> bool:
         return any(a.tag in tags for a in self.ancestors())
 
+    def outermost(self, tag: str) -> list[Element]:
+        """The elements of a tag that stand in no other one of it, in document order."""
+        out, stack = [], [k for k in reversed(self.kids) if isinstance(k, Element)]
+        while stack:
+            e = stack.pop()
+            if e.tag == tag:
+                out.append(e)
+            else:
+                stack.extend(k for k in reversed(e.kids) if isinstance(k, Element))
+        return out
+
     def _place(self) -> int:
         return next(i for i, k in enumerate(self.parent.kids) if k is self)
 
@@ -165,6 +177,7 @@ def parse(page: str | None) -> Element:
         return root
     at = root
     known = set(_MADE)
+    open_: Counter[str] = Counter()  # the elements around the place, by tag
     pos = 0
     n = len(page)
     tagged = page.rfind(">") + 1
@@ -183,12 +196,13 @@ def parse(page: str | None) -> Element:
             continue
         tag = tag.lower()
         if m[1]:
-            at = _close(at, tag)
+            if open_[tag]:
+                at = _up(at, _close(at, tag), open_)
             continue
-        if tag in _P_ENDERS:
-            at = _end(at, ("p",), ("td", "th", "table", "div", "li", "body", "button"))
-        if tag in _ENDS:
-            at = _end(at, *_ENDS[tag])
+        if tag in _P_ENDERS and open_["p"]:
+            at = _up(at, _end(at, ("p",), ("td", "th", "table", "div", "li", "body", "button")), open_)
+        if tag in _ENDS and any(open_[t] for t in _ENDS[tag][0]):
+            at = _up(at, _end(at, *_ENDS[tag]), open_)
         raw = m[3]
         e = Element(tag, {a.lower(): _html.unescape(x or y or z) for a, x, y, z in reversed(_ATTR.findall(raw))} if raw and not raw.isspace() else None, at)
         known.add(("tag", tag))
@@ -210,10 +224,19 @@ def parse(page: str | None) -> Element:
             continue
         if not raw.endswith("/") or tag in BLOCKS:
             at = e
+            open_[tag] += 1
     root.known = frozenset(known)
     return root
 
 
+def _up(at: Element, to: Element, open_: Counter[str]) -> Element:
+    """From one element to one around it; those between are closed."""
+    while at is not to:
+        open_[at.tag] -= 1
+        at = at.parent
+    return to
+
+
 def _close(at: Element, tag: str) -> Element:
     e: Element | None = at
     while e is not None and e.tag != "#root":
