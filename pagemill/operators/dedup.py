@@ -19,15 +19,16 @@ def record_rank(url: Column, source: Column) -> Column:
 
 
 def manifest(records: DataFrame, order: str = "record_id") -> DataFrame:
-    """Of the records of one page the best ranked, ties to the first; null addresses are one page.
+    """Of the records of one page the best ranked, ties to the first; null addresses are one page, a null order is last.
 
-    Rank and order (not negative, under 2^60) are packed into one number, whose minimum is
-    kept by a hash aggregation where a struct would be sorted.
+    The first of each rank is a minimum of its own, so that a page is one row of a hash
+    aggregation, where the minimum of a struct would be sorted; any number can be an order.
     """
-    rank = F.coalesce(record_rank(F.col("url"), F.col("source")), F.lit(0)).cast("long")
-    packed = F.shiftleft(F.lit(2).cast("long") - rank, 60) + F.col(order)
-    kept = records.select(urls.bare(F.col("url")).alias("page"), packed.alias("at")).groupBy("page").agg(F.min("at").alias("at"))
-    return kept.select("page", F.col("at").bitwiseAND(F.lit((1 << 60) - 1)).alias(order))
+    rank = F.coalesce(record_rank(F.col("url"), F.col("source")), F.lit(0))
+    at = F.col(order)
+    first = [F.min(F.when(rank == r, at)).alias(f"rank_{r}") for r in (2, 1, 0)]
+    kept = records.select(urls.bare(F.col("url")).alias("page"), "url", "source", order).groupBy("page").agg(*first)
+    return kept.select("page", F.coalesce("rank_2", "rank_1", "rank_0").alias(order))
 
 
 def by_hash(df: DataFrame, key: str, content: Column) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..model import NAV_CAP, NAV_LINKS, NAV_SELECTORS
-from ..session import spread
+from ..session import checkpoint, spread
 from .dom import Element, parse
 from .quality import parse_reply
 
@@ -81,6 +81,32 @@ def to_nodes(tree: dict | None, site: str) -> list[tuple]:
     return rows
 
 
+#: Adjacency rows of trees.
+NODES = "site_name string, node_id int, parent_id int, pos int, title string, url string, priority string"
+
+
+def read_trees(pages: DataFrame, ask: Callable[[str], str] | None) -> DataFrame:
+    """NODES of the trees that a model reads out of the sites' pages, asked from within the tasks.
+
+    pages: (site_name, url, html). Of several pages of a site the one with the smallest address that has content is
+    read; a site without a page, a navigation region or a right reply has no nodes.
+    """
+    names = [c.split()[0] for c in NODES.split(", ")]
+
+    def word(x: object) -> str | None:
+        return x if x is None or isinstance(x, str) else str(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for site, html in zip(b.column("site_name").to_pylist(), b.column("html").to_pylist()) for r in to_nodes(analyze(nav_html(html), ask), site)]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([word(x) for x in c] if k == pa.string() else c, k) for c, k in zip(columns, kinds)], names)
+
+    first = pages.where(F.col("html").isNotNull()).groupBy("site_name").agg(F.min_by("html", "url").alias("html"))
+    return spread(first).mapInArrow(run, NODES)
+
+
 def walk(nodes: DataFrame) -> DataFrame:
     """Every node of every tree with ``key`` (preorder), ``above`` (ids from the root to itself) and ``titles`` (likewise, lower case)."""
     view = f"nav_{uuid.uuid4().hex}"
@@ -160,10 +186,14 @@ def complete(flat: DataFrame, index: DataFrame, filtered: bool = False) -> DataF
 def discover(nodes: DataFrame, sites: DataFrame, index: DataFrame, prompt: str | None = None, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, stats): the whole discovery. Sites without a tree are served by their index alone and have no stats row.
 
-    Missing index pages count as core.
+    Missing index pages count as core. The nodes are kept, since reading them can ask a model.
     """
+    nodes = checkpoint(nodes)
     filtered = bool((prompt and prompt.strip()) or exclude)
     pages = complete(flatten(nodes, sites, prompt, exclude), index, filtered)
+    if filtered:
+        alone = index.join(nodes.select("site_name").distinct(), "site_name", "left_anti")
+        pages = pages.unionByName(alone.select("site_name", F.lit("index").alias("priority"), "url", "rank"))
     stats = priority_stats(nodes, prompt, exclude)
     if not filtered:
         more = pages.where("priority = 'index'").groupBy("site_name").agg(F.count(F.lit(1)).alias("more"))

@@ -50,14 +50,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is absent (tests, single machine) a temporary folder is
+    Only where the setting is absent on a single machine (tests) a temporary folder is
     used; on a cluster the folder has to be one that all executors reach, so that a
-    lost executor costs nothing.
+    lost executor costs nothing, and a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
     return df.checkpoint(eager)
 

@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.urls import normalize  # noqa: F401  (re-exported for callers that plan fetches)
 from ..model import MIN_MARKDOWN_BYTES, profile
@@ -76,20 +77,33 @@ def fetch_one(url: str, transport: Transport, user_agent: str = "pagemill") -> t
     return (url, now, digest, 200, framework, "fetched", source, r.body.decode("utf-8", "replace"), md, None)
 
 
-def fetch(pages: DataFrame, transport: Transport = urllib_transport, delay: float = 0.0, user_agent: str = "pagemill") -> DataFrame:
-    """FETCHED for a table of (site_name, url). A site's pages are fetched by few tasks, ``delay`` apart."""
+def fetch(pages: DataFrame, transport: Transport = urllib_transport, delay: float = 0.0, user_agent: str = "pagemill", concurrency: int = 4) -> DataFrame:
+    """FETCHED for a table of (site_name, url).
+
+    A site's pages are spread over ``concurrency`` lanes, each of them one task's; a lane waits
+    ``concurrency`` times ``delay`` between its pages, so that the site as a whole sees one request a delay. Rules of
+    a site in columns crawl_delay, max_concurrency and user_agent of the table come before the arguments; a null url is left out.
+    """
+    lanes = max(1, concurrency)
+    wanted = {"wait": ("crawl_delay", "double", delay), "lanes": ("max_concurrency", "int", lanes), "agent": ("user_agent", "string", user_agent)}
+    rules = [F.coalesce(F.col(c).cast(t) if c in pages.columns else F.lit(None).cast(t), F.lit(default)).alias(name) for name, (c, t, default) in wanted.items()]
+    todo = pages.where(F.col("url").isNotNull()).select("site_name", "url", *rules).withColumn("lanes", F.greatest("lanes", F.lit(1)))
+    todo = todo.withColumn("lane", F.pmod(F.xxhash64("url"), F.col("lanes")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in FETCHED.split(", ")]
+        last: dict[tuple, float] = {}
         for part in parts:
             rows = []
-            for u in part["url"]:
-                rows.append(fetch_one(u, transport, user_agent))
-                if delay:
-                    time.sleep(delay)
+            for site, u, wait, n, agent, lane in part[["site_name", "url", "wait", "lanes", "agent", "lane"]].itertuples(index=False):
+                due = last.get((site, lane), 0.0) + wait * n
+                if wait and (site, lane) in last:
+                    time.sleep(max(0.0, due - time.monotonic()))
+                last[site, lane] = time.monotonic()
+                rows.append(fetch_one(u, transport, agent))
             yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select("site_name", "url").repartition("site_name").mapInPandas(run, FETCHED)
+    return todo.repartition("site_name", "lane").mapInPandas(run, FETCHED)
 
 
 def _first_ok(candidates: list[str], transport: Transport) -> str | None:

@@ -1,19 +1,29 @@
-"""The raw store and its manifest: what was fetched, where it lies, what it holds."""
+"""The raw store and its manifest: what was fetched, where it lies, what it holds.
+
+A store is a folder with the files of its pages, named by the digest of their addresses, and a
+manifest: JSON lines written by the tasks, or one JSON document with all pages. Either is read
+back. Folders are looked up through Hadoop, so they can be addresses of an object store; page files are
+written by the tasks and need a folder that all executors share.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import size_text
-from ..model import MANIFEST, MIN_MARKDOWN_BYTES
+from ..model import MANIFEST, MANIFEST_PAGE, MIN_MARKDOWN_BYTES
 from ..operators.dedup import manifest as ranked
 
 _NAME = "manifest.json"
+_PAGE_COLUMNS = MANIFEST_PAGE.removeprefix("struct<").removesuffix(">").replace(":", " ")
 
 
 def is_native_markdown(body: Column) -> Column:
@@ -34,13 +44,14 @@ def probe(records: DataFrame, md: DataFrame, html: DataFrame) -> DataFrame:
 
 
 def lookup(records: DataFrame, md: DataFrame, html: DataFrame) -> DataFrame:
-    """Every record with the content of its file by its source; a missing file gives null content and the state failed."""
-    is_md = F.col("source") == "markdown"
-    wanted = records.withColumn("file", F.when(is_md, F.col("raw_md_path")).otherwise(F.col("raw_html_path")))
-    files = md.select(F.col("raw_md_path").alias("file"), F.col("body").alias("content"), F.lit("markdown").alias("kind")).unionByName(html.select(F.col("raw_html_path").alias("file"), F.col("html").alias("content"), F.lit("html").alias("kind")))
-    kind = F.when(is_md, F.lit("markdown")).otherwise(F.lit("html"))
-    out = wanted.withColumn("kind", kind).join(files, ["file", "kind"], "left").drop("kind")
-    return out.withColumn("status", F.when(F.col("content").isNull(), "failed").otherwise(F.col("status")))
+    """Every record with ``file``, ``content`` by its source; a missing file gives null content and the state failed.
+
+    Records of each source meet the files of that source only, so every file is moved once, by its own name.
+    """
+    is_md = F.coalesce(F.col("source") == "markdown", F.lit(False))
+    as_md = records.where(is_md).withColumn("file", F.col("raw_md_path")).join(md.select(F.col("raw_md_path").alias("file"), F.col("body").alias("content")), "file", "left")
+    as_html = records.where(~is_md).withColumn("file", F.col("raw_html_path")).join(html.select(F.col("raw_html_path").alias("file"), F.col("html").alias("content")), "file", "left")
+    return as_md.unionByName(as_html).withColumn("status", F.when(F.col("content").isNull(), "failed").otherwise(F.col("status")))
 
 
 def names(records: DataFrame) -> DataFrame:
@@ -48,6 +59,41 @@ def names(records: DataFrame) -> DataFrame:
     return records.select("record_id", urls.store_name(F.col("url"), ".html").alias("html_file"), urls.store_name(F.col("url"), ".md").alias("md_file"))
 
 
+def file_name(url: str, suffix: str) -> str:
+    """The same for one address."""
+    return hashlib.sha256(url.encode("utf-8", "surrogatepass")).hexdigest()[:16] + suffix
+
+
+def write_pages(fetched: DataFrame, folder: str) -> DataFrame:
+    """The pages as files of a store, written by the tasks; the rows without the contents, with raw_html_path and raw_md_path.
+
+    Lazy: the files are written when the result is computed, over the ones that are there. A record without an
+    address or content writes nothing and gets empty names.
+    """
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"page files need a folder that all executors share, not {folder}")
+    top = folder.removeprefix("file://")
+    kept = [f for f in fetched.schema.fields if f.name not in ("html", "md")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", raw_html_path string, raw_md_path string"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = Path(top)
+        place.mkdir(parents=True, exist_ok=True)
+        for part in parts:
+            out = part.drop(columns=["html", "md"])
+            for column, suffix, path in (("html", ".html", "raw_html_path"), ("md", ".md", "raw_md_path")):
+                written = []
+                for url, body in zip(part["url"], part[column]):
+                    name = file_name(url, suffix) if isinstance(url, str) and isinstance(body, str) else ""
+                    if name:
+                        (place / name).write_bytes(body.encode("utf-8", "replace"))
+                    written.append(name)
+                out[path] = written
+            yield out
+
+    return fetched.mapInPandas(run, schema)
+
+
 def manifest_page() -> list[Column]:
     null = F.lit("")
     return [
@@ -66,30 +112,49 @@ def manifest_json(records: DataFrame) -> DataFrame:
     return records.select("url", F.to_json(F.struct(*manifest_page())).alias("page"))
 
 
-def write_manifest(records: DataFrame, folder: str, at: Column | None = None) -> None:
-    """The manifest of one store as JSON lines, a part file for each task; overwrites."""
-    manifest_rows(records).withColumn("generated_at", at if at is not None else F.current_timestamp()).write.mode("overwrite").json(f"{folder}/{_NAME}")
+def write_manifest(records: DataFrame, folder: str, at: Column | None = None, order: str = "record_id") -> None:
+    """The manifest of one store as JSON lines, a part file for each task; overwrites. ``order`` is kept as the page's place, where there is one."""
+    place = F.col(order) if order in records.columns else F.lit(None)
+    rows = records.select(*manifest_page(), place.cast("long").alias("pos"), (at if at is not None else F.current_timestamp()).alias("generated_at"))
+    rows.write.mode("overwrite").json(f"{folder}/{_NAME}")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a manifest document; an absent file is a manifest without pages.
+    """Pages of a manifest and their place (pos), in either form; an absent one has no pages.
 
-    File names that Spark passes over as hidden are read by the driver: one document of one site.
+    A document whose name Spark passes over as hidden is read by the driver: one document of one site.
     """
-    file = Path(path)
-    if not file.exists():
-        return spark.createDataFrame([], MANIFEST).select(F.explode("pages").alias("p")).select("p.*")
-    if file.name[0] in "_.":
-        one = spark.createDataFrame([(file.read_text(encoding="utf-8"),)], "doc string")
-        return one.select(F.from_json("doc", MANIFEST).alias("m")).select(F.explode("m.pages").alias("p")).select("p.*")
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path).select(F.explode("pages").alias("p")).select("p.*")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return spark.createDataFrame([], f"{_PAGE_COLUMNS}, pos long")
+    if files.getFileStatus(place).isDirectory():
+        return spark.read.schema(f"{_PAGE_COLUMNS}, pos long").json(path)
+    if place.getName()[0] in "_.":
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(files.open(place), "UTF-8")
+        document = spark.createDataFrame([(text,)], "doc string").select(F.from_json("doc", MANIFEST).alias("m")).select("m.pages")
+    else:
+        document = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    return document.select(F.posexplode("pages").alias("pos", "p")).select("p.*", F.col("pos").cast("long").alias("pos"))
 
 
 def scan_html(spark: SparkSession, folder: str) -> DataFrame:
     """(url, http_status, content) of every HTML file in a folder, in name order by ``url``; undecodable bytes are replaced."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
-    stem = F.regexp_extract("path", r"([^/]+)\.html$", 1)
-    return files.select(F.concat(F.lit("store:"), stem).alias("url"), F.lit(200).alias("http_status"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return scan_files(spark, folder, "*.html").select(F.concat(F.lit("store:"), F.regexp_replace("file", r"\.html$", "")).alias("url"), F.lit(200).alias("http_status"), "content")
+
+
+def scan_files(spark: SparkSession, folder: str, names: str = "*.{html,md}") -> DataFrame:
+    """(file, content) of every file of a store."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def stored_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records to process again: the best of each page of the manifest, fetched ones only, with the content of their file by source."""
+    pages = read_manifest(spark, f"{folder}/{_NAME}").withColumn("record_id", F.coalesce("pos", F.xxhash64("url")))
+    best = best_records(pages).withColumnsRenamed({"html_file": "raw_html_path", "md_file": "raw_md_path"})
+    files = scan_files(spark, folder)
+    return lookup(best, files.select(F.col("file").alias("raw_md_path"), F.col("content").alias("body")), files.select(F.col("file").alias("raw_html_path"), F.col("content").alias("html")))
 
 
 def best_records(records: DataFrame) -> DataFrame:
