@@ -15,6 +15,7 @@ class Boosted:
     def __init__(self, classes: tuple[str, ...], trees: list[list[list[tuple]]], base: list[float]):
         self.classes, self.trees, self.base = classes, trees, base
         self.cache: dict[tuple[int, ...], str] = {}
+        self.flat: dict[int, list[tuple]] = {}
 
     @classmethod
     def fit(cls, rows: list[tuple[int, ...]], labels: list[str], classes: tuple[str, ...], rounds: int = 30, depth: int = 4, rate: float = 0.3, l2: float = 1.0) -> Boosted:
@@ -62,21 +63,27 @@ class Boosted:
         each = np.arange(len(new))
         for k, (own, b) in enumerate(zip(self.trees, self.base)):
             s = np.full(len(new), b)
-            for tree in own:
-                # feature, bound, left, right; a leaf leads to itself and holds its value apart
-                flat = np.array([(0, BINS, i, i) if t[0] < 0 else t for i, t in enumerate(tree)], dtype=np.int64)
-                value = np.array([t[1] if t[0] < 0 else 0.0 for t in tree])
+            for (f, bound, left, right), value, depth in self._flat(k, own):
                 at = np.zeros(len(new), dtype=np.int64)
-                while True:
-                    f, bound, left, right = flat[at].T
-                    to = np.where(x[each, f] <= bound, left, right)
-                    if (to == at).all():
-                        break
-                    at = to
+                for _ in range(depth):
+                    at = np.where(x[each, f[at]] <= bound[at], left[at], right[at])
                 s += value[at]
             scores[:, k] = s
         self.cache.update(zip(new, (self.classes[i] for i in scores.argmax(1))))
 
+    def _flat(self, k: int, own: list[list[tuple]]) -> list[tuple]:
+        """The trees of a class as arrays of feature, bound, left and right; a leaf leads to itself and holds its value apart."""
+        if k not in self.flat:
+            self.flat[k] = []
+            for tree in own:
+                level = [0] * len(tree)
+                for i, t in enumerate(tree):  # children stand after their parents
+                    if t[0] >= 0:
+                        level[t[2]] = level[t[3]] = level[i] + 1
+                nodes = np.array([(0, BINS, i, i) if t[0] < 0 else t for i, t in enumerate(tree)], dtype=np.int64)
+                self.flat[k].append((tuple(nodes.T.copy()), np.array([t[1] if t[0] < 0 else 0.0 for t in tree]), max(level)))
+        return self.flat[k]
+
     def predict(self, row: tuple[int, ...]) -> str:
         best = self.cache.get(row)
         if best is None:

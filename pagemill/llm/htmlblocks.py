@@ -60,7 +60,10 @@ def norm_key64(normal: str) -> int:
 
 def hash64(token: str) -> int:
     """A 64-bit digest that is the same in every process."""
-    h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+    try:
+        h = xxhash.xxh64_intdigest(token)
+    except UnicodeEncodeError:  # half a character
+        h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 

@@ -36,8 +36,11 @@ _OTHER = len(TAGS)
 _ATTRS = (re.compile("code|highlight|language|listing|source|terminal"), re.compile(r"\bheading\b"), re.compile("list|item|step"), re.compile("math|formula"))
 
 
+_BUCKETS = tuple(min(15, n.bit_length()) for n in range(8192))
+
+
 def _bucket(n: int) -> int:
-    return min(15, n.bit_length())
+    return _BUCKETS[n] if n < 8192 else min(15, n.bit_length())
 
 
 class View:
@@ -97,23 +100,28 @@ class View:
     def _row(self, i: int) -> tuple[int, ...]:
         nodes, tags = self.nodes, self.tags
         n = nodes[i]
-        up = max(n.parent, 0)
-        around, own, at = self.kids[up], self.kids[i], n.index
+        up = n.parent if n.parent >= 0 else 0
+        around, own, at, tag = self.kids[up], self.kids[i], n.index, tags[i]
+        last = len(around) - 1
         same = self.same.get(up)
         if same is None:
             same = self.same[up] = Counter(tags[k] for k in around)
-        chars, below = self.chars[i], self.below[i]
+        chars, below, over = self.chars[i], self.below[i], nodes[up].parent
         inner, lines, words, mark, weight = self._lead(i)
-        held = [tags[k] for k in own]
+        if own:
+            held = [tags[k] for k in own]
+            inside = (min(3, held.count(_LI)), min(3, held.count(_P)), int(_PRE in held), min(3, len(own)), min(7, self.deep[i]))
+        else:
+            inside = _NOTHING
         return (
-            tags[i], tags[up], tags[max(nodes[up].parent, 0)], min(31, n.depth), _bucket(below), _bucket(chars // (1 + below)),
-            _bucket(self.texts[i]), _bucket(chars), 4 * self.linked[i] // max(1, chars), _bucket(len(around)), min(7, at), _bucket(same[tags[i]]),
-            tags[around[at - 1]] if 0 < at < len(around) else 31, tags[around[at + 1]] if at + 1 < len(around) else 31,
-            _flags(n.cls, inner), lines, words, mark, weight,
-            min(3, held.count(_LI)), min(3, held.count(_P)), int(_PRE in held), min(3, len(own)), min(7, self.deep[i]),
+            tag, tags[up], tags[over] if over >= 0 else 0, n.depth if n.depth < 31 else 31, _bucket(below), _bucket(chars // (1 + below)),
+            _bucket(self.texts[i]), _bucket(chars), 4 * self.linked[i] // (chars or 1), _bucket(last + 1), at if at < 7 else 7, _bucket(same[tag]),
+            tags[around[at - 1]] if 0 < at <= last + 1 else 31, tags[around[at + 1]] if at < last else 31,
+            _flags(n.cls, inner) if n.cls or inner else 0, lines, words, mark, weight, *inside,
         )
 
 
+_NOTHING = (0, 0, 0, 0, 0)
 _LI, _P, _PRE = _TAG["li"], _TAG["p"], _TAG["pre"]
 
 

@@ -1,8 +1,8 @@
 """Main bodies of pages, by equivalence classes of the tokens of each site's template.
 
 Tokens of a page are its text blocks (the words of a constant block always come together, so
-they are one token beforehand), blocks with a slot in them (one word left open, or in long blocks
-one half of the characters), and its containers, told apart by their path. A token's occurrence vector says on which
+they are one token beforehand), halves of blocks (of a constant block with a slot in it one half stays
+constant), and its containers, told apart by their path. A token's occurrence vector says on which
 pages of the site it stands, and how often; it is carried as a commutative digest, which partial
 aggregation can build. Tokens of one site with equal vectors form an equivalence class.
 
@@ -54,9 +54,7 @@ POOLED = 5
 #: Fixed value: the number of the pool among the sites.
 POOL = -1
 
-_WORDS = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _SIZE = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
-_EACH_WORD = 14
 _ITEM, _CELL, _HEAD = frozenset(("li", "dt", "dd")), frozenset(("td", "th")), frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CONTAINERS = frozenset("#root body div main article section table tr td aside nav header footer ul ol form dl".split())
 _ROLES = {**dict.fromkeys(_ITEM, "i"), **dict.fromkeys(_CELL, "c"), **dict.fromkeys(_HEAD, "h"), "pre": "p"}
@@ -71,42 +69,17 @@ def block_token(b: Block, r: str) -> int:
     return hash64(f"{r}{'@' if b.full_link else ''}|{b.masked if r == 'f' else b.norm}")
 
 
-_WORD_HASH: dict[str, int] = {}
-_MASK = (1 << 64) - 1
-_PLACE = tuple((hash64(f"place{i}") | 1) & _MASK for i in range(_EACH_WORD))
-_OPEN = tuple(p * 0x9E3779B97F4A7C15 & _MASK for p in _PLACE)
-
-
-def open_tokens(b: Block, r: str) -> list[int]:
-    """The block with a slot: each one word left open, or the one or the other half of more than _EACH_WORD words; flowing text only.
-
-    The token of a word sequence is the sum of its words' digests times one odd factor a place.
-    """
+def open_tokens(b: Block, r: str) -> tuple[int, ...]:
+    """The block with a slot in it, known by its constant half: the text before and after the middle blank; flowing text of three words or more only."""
     if r != "f" or b.full_link:
-        return []
+        return ()
     text = b.masked
-    n = text.count(" ") + 1
-    if n > _EACH_WORD:
-        half = text.find(" ", len(text) // 2)
-        return [hash64("<" + text[:half]), hash64(">" + text[half:])]
-    w = _WORDS.findall(text)
-    n = len(w)
-    if not 3 <= n <= _EACH_WORD or sum(map(len, w)) < 0.7 * b.chars:
-        return []  # not words for the most part
-    parts = []
-    for p, x in zip(_PLACE, w):
-        h = _WORD_HASH.get(x)
-        if h is None:
-            h = hash64(x) & _MASK
-            if len(_WORD_HASH) < 200_000:
-                _WORD_HASH[x] = h
-        parts.append(h * p & _MASK)
-    total = sum(parts) + n
-    out = []
-    for part, gap in zip(parts, _OPEN):
-        v = (total - part + gap) & _MASK
-        out.append(v - (1 << 64) if v >> 63 else v)
-    return out
+    if text.count(" ") < 2:
+        return ()
+    half = text.find(" ", len(text) // 2)
+    if half < 0:
+        half = text.rfind(" ")
+    return hash64("<" + text[:half]), hash64(">" + text[half:])
 
 
 _PATHS: dict[tuple[int, str], int] = {}
