@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .catalog_cases import CASES, LLM_REPLIES
 from .functions import text, urls
-from .model import FINGERPRINTS, MANIFEST_PAGE, NOISE_PHRASES, Options
+from .model import FINGERPRINTS, NAV_CAP, NAV_LINKS, NOISE_PHRASES, Options
 from .operators import dedup, detect, markdown, nav, quality
 from .plans import engine, output
-from .session import spread, table
+from .session import scratch, spread, table
 from .sources import index, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,7 +137,7 @@ def framework_from_url(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT record_id, url FROM page_records WHERE http_status = 200")
 def fetched(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "page_records").where("http_status = 200").select("record_id", "url")
+    return store.fetched(table(spark, d, "page_records")).select("record_id", "url")
 
 
 @query("SELECT raw_html_path, sha256(html) AS content_hash FROM raw_html")
@@ -189,9 +189,10 @@ def raw_lookup(spark: SparkSession, d: str) -> DataFrame:
     "SELECT record_id, url, http_status, coalesce(content_hash, '') AS content_hash, coalesce(raw_html_path, '') AS html_file, coalesce(raw_md_path, '') AS md_file, source, coalesce(framework, '') AS framework, status FROM page_records"
 )
 def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "page_records")
-    written = r.select("record_id", F.to_json(F.struct(*store.manifest_page())).alias("page"))
-    return written.select("record_id", F.from_json("page", MANIFEST_PAGE).alias("p")).select("record_id", "p.*")
+    """Written to a folder of JSON lines and read back from it."""
+    folder = scratch(spark, "manifest")
+    store.write_manifest(table(spark, d, "page_records"), folder)
+    return store.read_manifest(spark, f"{folder}/manifest.json").withColumnRenamed("pos", "record_id")
 
 
 _ISO = r"regexp_replace(strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f'), '\.000000\z', '') || '+00:00'"
@@ -342,9 +343,19 @@ def nav_discover(spark: SparkSession, d: str) -> DataFrame:
     return nav.discover(table(spark, d, "nav_nodes"), table(spark, d, "sites"), _page_index(spark, d))[0]
 
 
-@query()
+_NAV_NAMES = "td-sidebar|sidebar|navigation|menu|docs-sidebar|md-nav|wy-nav-side|theme-doc-sidebar-container"
+
+
+@query(
+    rf"""SELECT raw_html_path, coalesce(regexp_matches(html, '<[a-z][^>]*\sclass="([^"]* )?({_NAV_NAMES})( [^"]*)?"') OR regexp_matches(html, '<[a-z][^>]*\sid="(td-sidebar|sidebar|navigation|menu)"') OR regexp_matches(html, '(?i)<aside[\s>]|<nav[^>]*role="navigation"')
+OR len(list_filter(regexp_extract_all(html, '(?is)<nav[\s>].*?(</nav>|$)'), lambda x: len(regexp_extract_all(x, '(?i)<a[\s>]')) >= {NAV_LINKS})) > 0, false) AS has_nav, true AS capped, 0 AS attributes_left FROM raw_html"""
+)
 def nav_region(spark: SparkSession, d: str) -> DataFrame:
-    return nav.extract_nav(table(spark, d, "raw_html"), "raw_html_path")
+    """Whether a page has a navigation region, whether it keeps to its cap, and how many dropped attributes it still has."""
+    found = nav.extract_nav(table(spark, d, "raw_html"), "raw_html_path")
+    n = F.col("nav_html")
+    left = F.size(F.regexp_extract_all(n, F.lit(r"(?i)\s(?:class|style|tabindex)=\""), F.lit(0)))
+    return found.select("raw_html_path", n.isNotNull().alias("has_nav"), F.coalesce(F.length(n) <= NAV_CAP + 40, F.lit(True)).alias("capped"), F.coalesce(left, F.lit(0)).cast("long").alias("attributes_left"))
 
 
 # Detection.
@@ -503,13 +514,25 @@ def raw_code_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT raw_md_path, md5(regexp_replace(body, '\]\(([^)\s]*?)\.md(#[^)\s]*)?\)', '](\1\2)', 'g')) AS linked FROM raw_md")
 def md_links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_md").select("raw_md_path", F.md5(F.regexp_replace("body", r"\]\(([^)\s]*?)\.md(#[^)\s]*)?\)", r"]($1$2)")).alias("linked"))
+    bodies = table(spark, d, "raw_md").select(F.col("raw_md_path").alias("key"), F.col("body").alias("text"))
+    return _with(bodies, "key string", markdown.md_links).select(F.col("key").alias("raw_md_path"), F.md5("text").alias("linked"))
+
+
+def _with(texts: DataFrame, key: str, f: Callable[[str], str]) -> DataFrame:
+    """(key, text) with a text function applied; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([None if x is None else f(x) for x in b.column("text").to_pylist()], pa.string())], ["key", "text"])
+
+    return spread(texts).mapInArrow(run, f"{key}, text string")
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(t, '[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{2139}]', '', 'g')) AS plain FROM (SELECT doc_id, coalesce(text, '') || ' ' || chr(128640) || chr(9989) || chr(8505) || '!' AS t FROM documents)""")
 def md_emoji(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" \U0001f680✅ℹ!"))
-    return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(t, r"[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{2139}]", "")).alias("plain"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" \U0001f680\u2705\u2139!"))
+    out = _with(table(spark, d, "documents").select(F.col("doc_id").alias("key"), t.alias("text")), "key long", lambda x: "\n".join(markdown.OVERRIDES["emoji"](x.split("\n"))))
+    return out.select(F.col("key").alias("doc_id"), F.md5("text").alias("plain"))
 
 
 def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """A new folder's path for tables written on the way, beside the checkpoints."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/{prefix}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -58,7 +67,7 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local[") and context.master != "local":
+        if not shared and context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
     return df.checkpoint(eager)

@@ -157,9 +157,14 @@ def stored_records(spark: SparkSession, folder: str) -> DataFrame:
     return lookup(best, files.select(F.col("file").alias("raw_md_path"), F.col("content").alias("body")), files.select(F.col("file").alias("raw_html_path"), F.col("content").alias("html")))
 
 
+def fetched(records: DataFrame) -> DataFrame:
+    """Records whose page was answered; a null status was not."""
+    return records.where("http_status = 200")
+
+
 def best_records(records: DataFrame) -> DataFrame:
     """Records to process: the best of each page, then those that were fetched."""
-    return records.join(ranked(records).select("record_id"), "record_id", "left_semi").where("http_status = 200")
+    return fetched(records.join(ranked(records).select("record_id"), "record_id", "left_semi"))
 
 
 def status(files: DataFrame, records: DataFrame) -> DataFrame:
