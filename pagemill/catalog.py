@@ -482,6 +482,16 @@ def quality_evaluate(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "passed", F.round("total", 9).alias("total"), F.col("retry_action.action").alias("action"), "needs_llm", "status")
 
 
+_LOST = r"doc_id % 3 > 0 AND NOT regexp_matches(md, '(?m)^`{3,}[^\S\n]*\S*[^\S\n]*$')"
+
+
+@query(f"{_CHECKS}, g AS (SELECT doc_id, all_passed, s1 + s2 + s3 + s4 + s5 AS points, {_LOST} AS lost FROM e JOIN md USING (doc_id)) SELECT doc_id, lost AS code_lost, round(points / CASE WHEN lost THEN 6 ELSE 5 END, 9) AS total, NOT lost AND (all_passed OR points / 5 >= 0.6) AS passed FROM g".replace(" FROM e JOIN md USING (doc_id)", " FROM (SELECT e.*, md.md FROM e JOIN md USING (doc_id))"))
+def check_code_preserved(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation with a number of raw code blocks known: none left of them fails the page."""
+    e = quality.evaluated(derived(spark, d), raw_code=F.col("doc_id") % 3)
+    return e.select("doc_id", "code_lost", F.round("total", 9).alias("total"), "passed")
+
+
 @query(f"{_CHECKS} SELECT {_REPAIR} AS action, passed, count(*) AS documents FROM f GROUP BY 1, 2")
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.evaluated(derived(spark, d)).groupBy(F.col("retry_action.action").alias("action"), "passed").agg(F.count(F.lit(1)).alias("documents"))
@@ -543,13 +553,38 @@ def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("raw_md_path"), pa.array([markdown.normalize(x, p) for x in b.column("body").to_pylist()], pa.string())], ["raw_md_path", "md"])
 
 
-@query()
+@query(
+    """SELECT raw_md_path, (length(body) - length(replace(body, '```', ''))) // 3 AS fences, true AS ends_with_one_line_end, false AS many_empty_lines, 0 AS file_links FROM raw_md"""
+)
 def normalize_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """What native Markdown keeps and what it no longer has once it is put in order."""
+    md = normalized_markdown(spark, d)
+    t = F.col("md")
+    return md.select(
+        "raw_md_path", text.count_of(t, "```").alias("fences"), (F.endswith(t, F.lit("\n")) & ~F.endswith(t, F.lit("\n\n"))).alias("ends_with_one_line_end"),
+        F.rlike(t, F.lit(r"\A\n|\n\n\n\n(?![\s\S]*```)")).alias("many_empty_lines"), F.size(F.regexp_extract_all(t, F.lit(r"\]\([^)\s]*\.md(?:#[^)\s]*)?\)"), F.lit(0))).cast("long").alias("file_links"),
+    )
+
+
+def normalized_markdown(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "raw_md").select("raw_md_path", "body")).mapInArrow(_normalize, "raw_md_path string, md string")
 
 
-@query()
+_STEPS = "main_content,nav_remnants,boilerplate,scripts,tab_content,line_numbers,remove_code_lang_labels,flatten_block_in_cells,escape_cell_pipes_html,protect_code,flatten_nested_tables,html_to_md,restore_code,localize_assets,overrides,unescape_code_underscores"
+
+
+@query(f"SELECT raw_html_path, CASE WHEN {_TOP} < 4 THEN 'generic' {_ARGMAX} END AS framework, '{_STEPS}' AS steps, true AS decided, 0 AS tags_left FROM (SELECT raw_html_path, {_SCORES} FROM raw_html)")
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page through the chain: its framework, the steps it went through, whether it was decided by its score, and what is left of block tags outside code."""
+    c = cleaned_pages(spark, d)
+    prose = F.regexp_replace("content", r"(?s)```.*?```|~~~.*?~~~|`[^`]*`", "")
+    left = F.size(F.regexp_extract_all(prose, F.lit(r"(?i)(?<!\\)</?(?:div|p|ul|ol|li|table|tr|td|th|h[1-6]|nav|aside|script|style|pre)(?:\s[^<>]*)?>"), F.lit(0)))
+    decided = F.col("status").isin("passed", "manual_review") & ((F.col("score") < Options().threshold) <= (F.col("status") == "manual_review"))
+    return c.select("raw_html_path", "framework", F.array_join("steps", ",").alias("steps"), decided.alias("decided"), left.cast("long").alias("tags_left"))
+
+
+def cleaned_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(raw_html_path, framework, content, steps, status, score) of every stored page."""
     return _cleaned(table(spark, d, "raw_html"))
 
 
@@ -559,18 +594,31 @@ def _cleaned(raw_html: DataFrame) -> DataFrame:
     return done.select(F.col("url").alias("raw_html_path"), "framework", "content", "steps", "status", F.col("report.total_score").alias("score"))
 
 
-@query("SELECT raw_html_path, 2 * (length(html) - length(replace(html, '<pre', ''))) // 4 AS fences FROM raw_html WHERE NOT contains(html, '<table width')")
+@query("SELECT raw_html_path, CASE WHEN contains(html, '<table width') THEN 0 ELSE 2 * ((length(html) - length(replace(html, '<pre', ''))) // 4) END AS fences FROM raw_html")
 def clean_code_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Code survives the cleaning: two fences for every block of the raw page.
-
-    Pages laid out as a table are left to the other queries: a block in a cell becomes inline code.
-    """
-    return _cleaned(table(spark, d, "raw_html").where(~F.contains("html", F.lit("<table width")))).select("raw_html_path", text.count_of(F.col("content"), "```").alias("fences"))
+    """Code survives the cleaning: two fences for every block of the raw page; where the page is laid out as a table its blocks stand in cells and become inline code."""
+    return cleaned_pages(spark, d).select("raw_html_path", text.count_of(F.col("content"), "```").alias("fences"))
 
 
-@query()
+@query(
+    rf"""WITH r AS (SELECT *, {_bare('url')} AS page, CASE WHEN source = 'markdown' THEN 2 WHEN url NOT LIKE '%.md' THEN 1 ELSE 0 END AS rk FROM page_records),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY rk DESC, record_id) AS k FROM r) WHERE k = 1 AND http_status = 200),
+f AS (SELECT record_id, CASE WHEN source = 'markdown' THEN m.body ELSE h.html END AS b FROM best
+ LEFT JOIN raw_md m ON source = 'markdown' AND best.raw_md_path = m.raw_md_path LEFT JOIN raw_html h ON source IS DISTINCT FROM 'markdown' AND best.raw_html_path = h.raw_html_path),
+x AS (SELECT record_id, b, {_BODY} AS t FROM f),
+n AS (SELECT record_id, b, length({_strip('t')}) AS chars, len(list_filter(string_split(t, chr(10)), lambda l: {_strip('l')} <> '')) AS ls, len(regexp_extract_all(t, '\[.*?\]\(.*?\)')) AS links FROM x)
+SELECT record_id, CASE WHEN b IS NULL THEN 'failed' WHEN chars < 50 OR ls < 5 OR (links / greatest(1.0, chars / 100.0) > 20 AND chars < 200) THEN 'skipped_low_quality' ELSE 'processed' END AS outcome, b IS NULL AS has_error, 'ok' AS retries FROM n"""
+)
 def process_records(spark: SparkSession, d: str) -> DataFrame:
-    """The whole lifecycle: best records, raw lookup, precheck, cleaning with retry, decision."""
+    """The whole lifecycle: best records, raw lookup, precheck, cleaning with retry, decision; which way every record went."""
+    p = processed_records(spark, d)
+    outcome = F.when(F.col("status").isin("passed", "manual_review"), "processed").otherwise(F.col("status"))
+    most = Options().max_retries
+    kept = F.when((F.coalesce("retry_count", F.lit(0)) <= most) & ((F.col("status") != "manual_review") | F.array_contains("steps", "markdown_normalize") | (F.col("retry_count") == most)), "ok").otherwise("wrong")
+    return p.select("record_id", outcome.alias("outcome"), F.col("error").isNotNull().alias("has_error"), kept.alias("retries"))
+
+
+def processed_records(spark: SparkSession, d: str) -> DataFrame:
     best = store.best_records(table(spark, d, "page_records"))
     found = store.lookup(best, table(spark, d, "raw_md"), table(spark, d, "raw_html"))
     return engine.run(found.select("record_id", "url", "source", "framework", "content"), Options()).select("record_id", "url", "framework", "status", "retry_count", "steps", "content", "error")
