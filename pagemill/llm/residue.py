@@ -11,8 +11,9 @@ and stays. The http status is no evidence, since it doesn't say what was stored.
 stands in its place.
 
 Filler and notices start from the seeds below. The prose starts from ``prose`` (documents of
-the domain) and all three are then refitted on the main bodies of about ``sample`` pages, chosen by
-hash, as the models themselves label their blocks: texts stay where they are, n-gram counts are summed. Code of several lines never counts as residue. Null or
+the domain) and all three are then refitted on the main bodies of the pages, as the models
+themselves label their blocks. Every document and every page is counted, whatever its length: texts stay where they are, n-gram counts are summed.
+Pages are parsed for their main text once; it is kept beside the checkpoints for the rounds of the fit and for the result. Code of several lines never counts as residue. Null or
 empty html, and pages without any text, are no cases. The tables have a fixed size.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, spread
 from . import template
 from .htmlblocks import Block, Node, parse
-from .sampling import sample as sampled
 
 #: Seed texts of the filler model.
 FILLER = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
@@ -75,21 +75,38 @@ Active JavaScript para ver esta página. Esta aplicación necesita scripts. Habi
 ORDER, BITS, WINDOW = 4, 18, 32
 #: Covered share of the main text from which a file is a case, and from which its blocks are examples of residue.
 LEAST, EXAMPLE = 0.3, 0.5
-#: Characters of a page or document that the models are fitted on; longer ones are scored like all others.
-LONGEST_SAMPLE = 200_000
+#: Characters that are counted or scored together.
+TOGETHER = 1 << 19
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)(?:</noscript\s*>|\Z)", re.S | re.I)
 _TAGS = re.compile(r"<[^>]*>")
-_SPACES = re.compile(r"\s+")
+
+
+def _parts(rows: Iterable, size: Callable[..., int]) -> Iterator[list]:
+    """The rows in order, in lists of about TOGETHER characters."""
+    part: list = []
+    held = 0
+    for row in rows:
+        part.append(row)
+        held += size(row)
+        if held >= TOGETHER:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _plain(text: str) -> str:
+    """As the models see a text: small letters, single blanks."""
+    return " ".join(text.lower().split())
 
 
 def _codes(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of all blocks, each with ORDER - 1 line feeds before it, and block starts."""
+    """Characters of all blocks, which are plain, each with ORDER - 1 line feeds before it, and block starts."""
     pad = "\n" * (ORDER - 1)
-    texts = [pad + _SPACES.sub(" ", b.lower()).strip() for b in blocks]
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
-    starts = np.cumsum([0] + [len(t) for t in texts])
+    codes = np.frombuffer("".join([pad + b for b in blocks]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes[(codes >= 48) & (codes <= 57)] = 48
+    starts = np.cumsum([0] + [len(pad) + len(b) for b in blocks])
     return codes, starts
 
 
@@ -109,16 +126,24 @@ def _slots(codes: np.ndarray) -> list[np.ndarray]:
 class CharModel:
     """Interpolated character n-gram model over hashed counts of fixed size."""
 
-    def __init__(self):
-        self.counts = [np.zeros(1 << BITS, dtype=np.float32) for _ in range(ORDER)]
+    def __init__(self, kind: type = np.float32):
+        """``kind``: of the tables; what counts many texts takes float64, which holds their sums exactly."""
+        self.counts = [np.zeros(1 << BITS, dtype=kind) for _ in range(ORDER)]
         self.total = 0.0
 
-    def add(self, blocks: list[str], weight: float = 1.0) -> CharModel:
-        if blocks:
-            codes, _ = _codes(blocks)
-            for k, s in enumerate(_slots(codes)):
-                self.counts[k] += np.bincount(s, minlength=1 << BITS).astype(np.float32) * weight
-            self.total += len(codes) * weight
+    def add(self, blocks: Iterable[str], weight: float = 1.0) -> CharModel:
+        for part in _parts(map(_plain, blocks), len):
+            codes, _ = _codes(part)
+            for i in range(0, len(codes), TOGETHER):  # a long block in pieces, each behind the characters that its first n-grams begin with
+                before = min(i, ORDER - 1)
+                self.count([s[before:] for s in _slots(codes[i - before : i + TOGETHER])], weight)
+        return self
+
+    def count(self, slots: list[np.ndarray], weight: float = 1.0) -> CharModel:
+        for table, s in zip(self.counts, slots):
+            n = np.bincount(s, minlength=1 << BITS)
+            table += n if weight == 1 else n * weight
+        self.total += len(slots[0]) * weight
         return self
 
     def plus(self, other: CharModel) -> CharModel:
@@ -128,35 +153,41 @@ class CharModel:
         return self
 
     def log_prob(self, slots: list[np.ndarray], strength: float = 4.0) -> np.ndarray:
-        p = (self.counts[0][slots[0]] + 0.02 * strength) / (self.total + 20 * strength)
+        found = self.counts[0][slots[0]]
+        p = (found + 0.02 * strength) / (self.total + 20 * strength)
         for k in range(1, ORDER):
             # the context of order k ends one position earlier
-            before = np.concatenate([[0], slots[k - 1][:-1]]) if len(slots[0]) else slots[0]
-            p = (self.counts[k][slots[k]] + strength * p) / (self.counts[k - 1][before] + strength)
+            before = np.concatenate([self.counts[k - 1][:1], found[:-1]])[: len(found)]
+            found = self.counts[k][slots[k]]
+            p = (found + strength * p) / (before + strength)
         return np.log(np.maximum(p, 1e-12))
 
 
-def block_scores(blocks: list[str], models: tuple[CharModel, CharModel, CharModel]) -> list[tuple[int, int, float, float]]:
-    """(residue characters, characters, filler ratio, notice ratio) of every block."""
-    if not blocks:
-        return []
-    codes, starts = _codes(blocks)
-    slots = _slots(codes)
+def _ratios(slots: list[np.ndarray], models: tuple[CharModel, CharModel, CharModel]) -> list[np.ndarray]:
+    """Sums up to every position of the logarithms of the likelihood ratios of the first two models to the third."""
     filler, notice, prose = (m.log_prob(slots) for m in models)
-    fill, note = np.concatenate([[0], np.cumsum(filler - prose)]), np.concatenate([[0], np.cumsum(notice - prose)])
-    out = []
-    for i in range(len(blocks)):
-        a, b = int(starts[i]) + ORDER - 1, int(starts[i + 1])
-        n = b - a
-        if n <= 0:
-            out.append((0, 0, 0.0, 0.0))
-            continue
-        half = WINDOW // 2
-        at = np.arange(a, b)
-        lo, hi = np.maximum(at - half, a), np.minimum(at + half, b)
-        best = np.maximum(fill[hi] - fill[lo], note[hi] - note[lo])
-        out.append((int((best > 0).sum()), n, float(fill[b] - fill[a]) / n, float(note[b] - note[a]) / n))
-    return out
+    return [np.concatenate([[0.0], np.cumsum(x - prose, dtype=np.float64)]) for x in (filler, notice)]
+
+
+def block_ratios(slots: list[np.ndarray], starts: np.ndarray, models: tuple[CharModel, CharModel, CharModel]) -> list[np.ndarray]:
+    """Filler and notice ratio a character of every block."""
+    a, b = starts[:-1] + ORDER - 1, starts[1:]
+    return [(x[b] - x[a]) / np.maximum(b - a, 1) for x in _ratios(slots, models)]
+
+
+def block_scores(slots: list[np.ndarray], starts: np.ndarray, models: tuple[CharModel, CharModel, CharModel]) -> list[tuple[int, int, float, float]]:
+    """(residue characters, characters, filler ratio, notice ratio) of every block."""
+    a, b = starts[:-1] + ORDER - 1, starts[1:]
+    n = b - a
+    size = np.maximum(n, 1)
+    fill, note = _ratios(slots, models)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(ends[-1]) + np.repeat(a - ends[:-1], n)  # the positions of all characters
+    half = WINDOW // 2
+    lo, hi = np.maximum(at - half, np.repeat(a, n)), np.minimum(at + half, np.repeat(b, n))
+    hits = np.concatenate([[0], np.cumsum(np.maximum(fill[hi] - fill[lo], note[hi] - note[lo]) > 0)])
+    columns = hits[ends[1:]] - hits[ends[:-1]], n, (fill[b] - fill[a]) / size, (note[b] - note[a]) / size
+    return list(zip(*(c.tolist() for c in columns)))
 
 
 def _main_text(nodes: list[Node], blocks: list[Block], site: dict, rescue: bool) -> tuple[list[str], list[str], list[str]]:
@@ -198,19 +229,33 @@ def page_coverage(heads: list[tuple], text: list[tuple], code: int) -> float:
     return max(share(heads + text, code), share(text, code))
 
 
+_STRINGS = pa.list_(pa.string())
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict = {}
     for b in batches:
         rows = [main_text(h, s) for h, s in zip(b.column("html").to_pylist(), template.Sites(b, held))]
-        strings = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], strings), pa.array([r[1] for r in rows], strings), pa.array([sum(map(len, r[2])) for r in rows], pa.int64())], ["heads", "blocks", "code"])
+        heads, blocks, repeated = (pa.array([list(map(_plain, r[k])) for r in rows], _STRINGS) for k in (0, 1, 3))
+        yield pa.RecordBatch.from_arrays([b.column("path"), heads, blocks, pa.array([sum(map(len, r[2])) for r in rows], pa.int64()), repeated], ["path", "heads", "blocks", "code", "repeated"])
+
+
+def main_texts(pages: DataFrame, valid: DataFrame) -> DataFrame:
+    """(path, heads, blocks, code, repeated): the main text of every page in plain blocks, code as its number of characters; kept."""
+    return checkpoint(spread(template.attach(pages, valid)).mapInArrow(_texts, "path string, heads array<string>, blocks array<string>, code long, repeated array<string>"))
+
+
+def _read(b: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """(heads, blocks, code, repeated) of a batch's pages, in lists of pages that are scored together."""
+    rows = zip(*(b.column(c).to_pylist() for c in ("heads", "blocks", "code", "repeated")))
+    return _parts(rows, lambda row: sum(len(x) for k in (0, 1, 3) for x in row[k]))
 
 
 def _counting(add: Callable[[pa.RecordBatch, tuple[CharModel, CharModel, CharModel]], None]):
     """A stage that adds batches to three empty models and gives their counts: (model, order, slot, n), order -1 for the total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = (CharModel(), CharModel(), CharModel())
+        models = tuple(CharModel(np.float64) for _ in range(3))
         for b in batches:
             add(b, models)
         for m, model in enumerate(models):
@@ -237,49 +282,50 @@ def _counted(rows: DataFrame, add: Callable) -> tuple[CharModel, CharModel, Char
 
 
 def _add_lines(b: pa.RecordBatch, models: tuple) -> None:
-    models[2].add([x for t in b.column("text").to_pylist() for x in re.split(r"[\r\n]+", t or "") if x.strip()])
+    models[2].add(x for t in b.column("text").to_pylist() for x in re.split(r"[\r\n]+", t or "") if x.strip())
 
 
 def _add_all(b: pa.RecordBatch, models: tuple) -> None:
-    models[2].add([x for c in ("heads", "blocks") for row in b.column(c).to_pylist() for x in row])
+    models[2].add(x for c in ("heads", "blocks") for row in b.column(c).to_pylist() for x in row)
 
 
-def _add_labelled(fitted):
+def _add_labelled(sent):
     """Blocks of pages that the models call residue to the first two models; those beside real content to the third."""
 
     def add(b: pa.RecordBatch, models: tuple) -> None:
-        now, seeds = fitted.value
-        pages = list(zip(*(b.column(c).to_pylist() for c in ("heads", "blocks", "code"))))
-        flat = [x for heads, text, _ in pages for x in (*heads, *text)]
-        scores, first = block_scores(flat, now), block_scores(flat, seeds)
-        labelled: tuple[list[str], ...] = ([], [], [])
-        at = 0
-        for heads, text, code in pages:
-            k = len(heads) + len(text)
-            own = scores[at : at + k]
-            covered = page_coverage(own[: len(heads)], own[len(heads) :], code)
-            for i in range(at, at + k):
-                hit, size, fill, note = scores[i]
-                if covered >= EXAMPLE and size and hit >= 0.8 * size:
-                    labelled[0 if fill >= note else 1].append(flat[i])
-                elif covered < 0.3 and max(first[i][2:]) < 1.0:
-                    labelled[2].append(flat[i])  # beside real content; not what the seeds know well
-            at += k
-        for model, blocks in zip(models, labelled):
-            model.add(blocks)
+        now, seeds = sent.value
+        for pages in _read(b):
+            codes, starts = _codes([x for heads, text, _, _ in pages for x in (*heads, *text)])
+            slots = _slots(codes)
+            scores = block_scores(slots, starts, now)
+            fills, notes = block_ratios(slots, starts, seeds or now)
+            known = np.maximum(fills, notes) >= 1.0  # well, by the seeds
+            labels = np.full(len(scores), -1)
+            at = 0
+            for heads, text, code, _ in pages:
+                k = len(heads) + len(text)
+                own = scores[at : at + k]
+                covered = page_coverage(own[: len(heads)], own[len(heads) :], code)
+                for i in range(at, at + k):
+                    hit, size, fill, note = scores[i]
+                    if covered >= EXAMPLE and size and hit >= 0.8 * size:
+                        labels[i] = 0 if fill >= note else 1
+                    elif covered < 0.3 and not known[i]:
+                        labels[i] = 2  # beside real content
+                at += k
+            of = np.repeat(labels, np.diff(starts))
+            for m, model in enumerate(models):
+                chosen = np.flatnonzero(of == m)
+                if len(chosen):
+                    model.count([s[chosen] for s in slots])
 
     return add
 
 
-def fit(pages: DataFrame, valid: DataFrame, prose: DataFrame | None, sample: int = 3000, rounds: int = 3) -> tuple[CharModel, CharModel, CharModel]:
-    """Models fitted on the seeds, ``sample`` prose documents and ``sample`` pages' main bodies, counted where the samples are."""
-    context = pages.sparkSession.sparkContext
-    chosen = sampled(pages, pages.where(F.length("html") <= LONGEST_SAMPLE), sample, "raw_html_path")
-    seen = checkpoint(spread(template.attach(chosen, valid).mapInArrow(_texts, "heads array<string>, blocks array<string>, code long")))
-    lines = None
-    if prose is not None:
-        docs = sampled(prose, prose.where(F.length("text") <= LONGEST_SAMPLE), sample, *prose.columns[:1]).select("text")
-        lines = _counted(spread(docs), _add_lines)[2]
+def fit(texts: DataFrame, prose: DataFrame | None, rounds: int = 3) -> tuple[CharModel, CharModel, CharModel]:
+    """Models fitted on the seeds, all prose documents and the main texts of all pages, counted where the texts are."""
+    context = texts.sparkSession.sparkContext
+    lines = _counted(spread(prose.select("text")), _add_lines)[2] if prose is not None else None
 
     def seeded(more: tuple[CharModel, CharModel, CharModel], extra: CharModel | None) -> tuple[CharModel, CharModel, CharModel]:
         f = CharModel().add(FILLER.split("\n"), 3).plus(more[0])
@@ -287,29 +333,26 @@ def fit(pages: DataFrame, valid: DataFrame, prose: DataFrame | None, sample: int
         return f, n, more[2].plus(extra) if extra else more[2]
 
     empty = (CharModel(), CharModel(), CharModel())
-    # without documents most blocks of the sample stand for prose
-    seeds = fitted = seeded(empty if lines and lines.total else _counted(seen, _add_all), lines)
+    # without documents most blocks of the pages stand for prose
+    seeds = fitted = seeded(empty if lines and lines.total else _counted(texts, _add_all), lines)
     for _ in range(rounds):
-        sent = context.broadcast((fitted, seeds))  # 24 tables of 1 MB
-        fitted = seeded(_counted(seen, _add_labelled(sent)), lines)
+        sent = context.broadcast((fitted, seeds if fitted is not seeds else None))  # 24 tables of 1 MB
+        fitted = seeded(_counted(texts, _add_labelled(sent)), lines)
         sent.unpersist()
     return fitted
 
 
 def _scorer(fitted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
         for b in batches:
-            pages = [main_text(h, s) for h, s in zip(b.column("html").to_pylist(), template.Sites(b, held))]
             covered = []
-            step = 256  # pages scored together
-            for k in range(0, len(pages), step):
-                part = pages[k : k + step]
-                scores = block_scores([t for heads, text, _, repeated in part for t in (*heads, *text, *repeated)], fitted.value)
+            for part in _read(b):
+                codes, starts = _codes([t for heads, text, _, repeated in part for t in (*heads, *text, *repeated)])
+                scores = block_scores(_slots(codes), starts, fitted.value)
                 at = 0
                 for heads, text, code, repeated in part:
                     m, n = at + len(heads), at + len(heads) + len(text) + len(repeated)  # text or repeated is empty
-                    found = page_coverage(scores[at:m], scores[m:n], sum(map(len, code)))
+                    found = page_coverage(scores[at:m], scores[m:n], code)
                     covered.append(max(found, page_coverage(scores[at:m], [], 0)) if repeated else found)
                     at = n
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(covered, pa.float64())], ["raw_html_path", "covered"])
@@ -317,13 +360,13 @@ def _scorer(fitted):
     return run
 
 
-def coverage(pages: DataFrame, prose: DataFrame | None = None, sample: int = 3000) -> DataFrame:
+def coverage(pages: DataFrame, prose: DataFrame | None = None) -> DataFrame:
     """(raw_html_path, covered): share of residue in the main text of every file."""
-    valid = checkpoint(template.template(pages))
-    fitted = pages.sparkSession.sparkContext.broadcast(fit(pages, valid, prose, sample))  # 12 tables of 1 MB
-    return template.attach(pages, valid).mapInArrow(_scorer(fitted), "raw_html_path string, covered double")
+    texts = main_texts(pages, checkpoint(template.template(pages)))
+    fitted = pages.sparkSession.sparkContext.broadcast(fit(texts, prose))  # 12 tables of 1 MB
+    return texts.mapInArrow(_scorer(fitted), "raw_html_path string, covered double")
 
 
-def residue_files(pages: DataFrame, prose: DataFrame | None = None, least: float = LEAST, sample: int = 3000) -> DataFrame:
+def residue_files(pages: DataFrame, prose: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """(raw_html_path): files to exclude."""
-    return coverage(pages, prose, sample).where(F.col("covered") >= least).select("raw_html_path")
+    return coverage(pages, prose).where(F.col("covered") >= least).select("raw_html_path")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagemill.llm import residue, template
@@ -106,6 +107,28 @@ def test_residue_odd_inputs(spark):
     assert residue.residue_files(spark.createDataFrame([], SCHEMA), None).count() == 0
 
 
+def test_residue_models_count_long_documents_and_pages(spark):
+    r = random.Random(9)
+    latin = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua veniam nostrud ullamco laboris commodo".split()
+
+    def verse():
+        return " ".join(r.choice(latin) for _ in range(9)).capitalize() + "."
+
+    data = [(f"p{i}", "s", page(r, "s", [f"Title {sentence(r, 3)}", *(verse() if i % 2 else sentence(r) for _ in range(4))])[0], 1, "p", "b", 2) for i in range(40)]
+    pages = spark.createDataFrame(data, SCHEMA)
+    short = [(sentence(r),) for _ in range(100)]
+    # in a domain with a long Latin text Latin pages are prose
+    long = " ".join(verse() for _ in range(6000))
+    assert len(long) > 300_000
+    assert residue.residue_files(pages, spark.createDataFrame(short, "text string")).count() == 20
+    assert residue.residue_files(pages, spark.createDataFrame([*short, (long,)], "text string")).count() == 0
+    texts = residue.main_texts(spark.createDataFrame([("x", "s", f"<p>{long}</p>", 1, "p", "b", 2)], SCHEMA), template.template(pages))
+    counted = residue._counted(texts, residue._add_all)[2]
+    assert counted.total == len(long) + residue.ORDER - 1
+    for table, slots in zip(counted.counts, residue._slots(residue._codes([residue._plain(long)])[0])):
+        assert (table == np.bincount(slots, minlength=1 << residue.BITS)).all()
+
+
 def test_large_sites_are_split(spark):
     data, _ = rows(6, 30)
     df = spark.createDataFrame(data, SCHEMA)
