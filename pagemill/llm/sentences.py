@@ -12,7 +12,8 @@ LONGEST_SAMPLE characters.
 The model's weights are drawn towards a prior, by which a mark ends a sentence unless a small letter
 follows; the fewer examples a corpus has, the more the prior counts. Tokens seen fewer than FEW times
 tell nothing and are not kept; of all others a digest and a class of two bits are kept in sorted arrays, 9 bytes a
-token, sent to every task once. Beyond MOST_TOKENS of a side (36 MB) the most frequent are kept. Empty, blank and null texts have no sentence; a document given twice is split twice.
+token, sent to every task once. Where a side has more than MOST_TOKENS (36 MB) the most frequent are sent, and the classes of all others
+are joined to the documents that have them: the result is the same. Empty, blank and null texts have no sentence; a document given twice is split twice.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpoint, spread
 from .sampling import sample as sampled
 
-#: Occurrences below which a token tells nothing, and tokens of a side that are kept.
+#: Occurrences below which a token tells nothing, and tokens of a side that are sent to every task.
 FEW, MOST_TOKENS = 4, 4_000_000
 #: Examples that the prior weighs as much as.
 PRIOR = 8.0
@@ -172,7 +173,7 @@ def _digest(token: str) -> int:
 
 
 class Tokens:
-    """How tokens stand at a side: their digests in order and the class of each; unknown ones are '?'.
+    """How tokens stand at a side: their digests in order and the class of each; unknown ones are '?'. ``more`` has those of the document at hand that were not sent.
 
     0 and ~: never at a line's end (or start), in 12 occurrences or more and in fewer; 1, 2 and 3: in less than 1 %, 8 % and in more of them.
     """
@@ -181,14 +182,21 @@ class Tokens:
         digests, classes = (found.column(c).to_numpy() for c in ("digest", "class"))
         order = np.argsort(digests)
         self.digests, self.classes = digests[order], classes[order].astype(np.uint8)
+        self.more: dict[int, int] = {}
         self.cache: dict[str, str] = {}
 
+    def held(self, digest: int) -> int | None:
+        i = int(np.searchsorted(self.digests, digest))
+        return int(self.classes[i]) if i < len(self.digests) and self.digests[i] == digest else None
+
     def __call__(self, token: str) -> str:
         got = self.cache.get(token)
         if got is None:
             d = _digest(token)
-            i = int(np.searchsorted(self.digests, d))
-            got = chr(int(self.classes[i])) if i < len(self.digests) and self.digests[i] == d else "?"
+            found = self.held(d)
+            if found is None:
+                found = self.more.get(d)  # the same in every document that has the token
+            got = "?" if found is None else chr(found)
             if len(self.cache) < 200_000:
                 self.cache[token] = got
         return got
@@ -330,21 +338,88 @@ def training_rows(texts: list[str], ends: Tokens, starts: Tokens) -> list[tuple[
     return rows
 
 
-def fit(documents: DataFrame, sample: int = 4000, most: int = MOST_TOKENS) -> tuple[MaxEnt, Tokens, Tokens]:
-    """Model and token classes; ``most`` bounds the tokens of a side."""
+def token_classes(documents: DataFrame, most: int = MOST_TOKENS) -> tuple[Tokens, Tokens, DataFrame | None]:
+    """Classes of the tokens at ends and at starts, and (side, digest, class) of those that are over ``most`` of a side, if there are any.
+
+    The tokens of a side that occur most often are sent, as many as ``most`` allows; all with the same number of occurrences go one way.
+    """
     counts = token_counts(documents).where(F.col("n") >= FEW).persist()
     rate = F.col("hits") / F.col("n")
     kind = F.when(F.col("hits") == 0, F.when(F.col("n") >= 12, "0").otherwise("~")).when(rate < 0.01, "1").when(rate < 0.08, "2").otherwise("3")
-    sides = []
+    classed = [F.xxhash64("token").alias("digest"), F.ascii(kind).cast("byte").alias("class")]
+    sides, far = [], None
     for side in ("e", "s"):
         own = counts.where(F.col("side") == side)
         if own.count() > most:
-            own = own.orderBy(F.desc("n"), "token").limit(most)
-        sides.append(Tokens(own.select(F.xxhash64("token").alias("digest"), F.ascii(kind).cast("byte").alias("class")).toArrow()))
+            bound = kept = 0
+            for n, tokens in own.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+                kept += tokens
+                if kept > most:
+                    bound = n
+                    break
+            rest = own.where(F.col("n") <= bound).select("side", *classed)
+            far = rest if far is None else far.unionByName(rest)
+            own = own.where(F.col("n") > bound)
+        sides.append(Tokens(own.select(*classed).toArrow()))
+    far = None if far is None else checkpoint(far)
     counts.unpersist()
-    ends, starts = sides
-    chosen = sampled(documents, documents.select("doc_id", "text").where(F.length("text").between(1, LONGEST_SAMPLE)), sample, "doc_id").select("text")
-    return MaxEnt.fit(training_rows(sorted(r[0] for r in chosen.collect()), ends, starts)), ends, starts
+    return sides[0], sides[1], far
+
+
+def _needed(sent):
+    """(key, side, digest) of the tokens of every text that were not sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = dict(zip("es", sent.value))
+        for b in batches:
+            out: list[tuple[str, str, int]] = []
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                stats: dict[tuple[str, str], list[int]] = {}
+                _count(text, stats)
+                digests = ((side, _digest(token)) for side, token in stats)
+                out.extend((key, side, d) for side, d in digests if sides[side].held(d) is None)
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["key", "side", "digest"])
+
+    return run
+
+
+def with_far(documents: DataFrame, ends: Tokens, starts: Tokens, far: DataFrame | None) -> DataFrame:
+    """(doc_id, text, far) of the documents that have a text; far: classes of their tokens that were not sent.
+
+    Each of these tokens is rarer than all that were sent, so no key of the join is frequent. Equal texts have equal tokens, so a text's digest is its key.
+    """
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    kind = "array<struct<side:string,digest:bigint,class:tinyint>>"
+    if far is None:
+        return rows.withColumn("far", F.lit(None).cast(kind))
+    sent = documents.sparkSession.sparkContext.broadcast((ends, starts))
+    rows = rows.withColumn("key", F.sha2("text", 256))
+    needed = spread(rows.select("key", "text")).mapInArrow(_needed(sent), "key string, side string, digest long")
+    found = needed.join(far, ["side", "digest"]).groupBy("key").agg(F.collect_set(F.struct("side", "digest", "class")).cast(kind).alias("far"))
+    return rows.join(found, "key", "left").select("doc_id", "text", "far")
+
+
+def _meet(far: list | None, ends: Tokens, starts: Tokens) -> None:
+    """Makes the tokens of the next document known."""
+    for side, tokens in (("e", ends), ("s", starts)):
+        tokens.more = {x["digest"]: x["class"] for x in far or () if x["side"] == side}
+
+
+def train(documents: DataFrame, ends: Tokens, starts: Tokens, far: DataFrame | None, sample: int) -> MaxEnt:
+    chosen = sampled(documents, documents.select("doc_id", "text").where(F.length("text").between(1, LONGEST_SAMPLE)), sample, "doc_id")
+    rows: list[tuple[tuple[str, ...], int]] = []
+    for text, more in with_far(chosen, ends, starts, far).select("text", "far").collect():
+        _meet(more, ends, starts)
+        rows.extend(training_rows([text], ends, starts))
+    _meet(None, ends, starts)
+    return MaxEnt.fit(rows)
+
+
+def fit(documents: DataFrame, sample: int = 4000, most: int = MOST_TOKENS) -> tuple[MaxEnt, Tokens, Tokens]:
+    """Model and token classes; those over ``most`` of a side have part in the model only."""
+    ends, starts, far = token_classes(documents, most)
+    return train(documents, ends, starts, far, sample), ends, starts
 
 
 def split(text: str | None, model: MaxEnt, ends: Tokens, starts: Tokens) -> list[tuple[int, int]]:
@@ -370,8 +445,11 @@ def _splitter(fitted):
             ids: list[int] = []
             s: list[int] = []
             e: list[int] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for x, y in split(text, *fitted.value):
+            model, ends, starts = fitted.value
+            for doc, text, far in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "far"))):
+                if far or ends.more or starts.more:
+                    _meet(far, ends, starts)
+                for x, y in split(text, model, ends, starts):
                     ids.append(doc)
                     s.append(x)
                     e.append(y)
@@ -380,7 +458,8 @@ def _splitter(fitted):
     return run
 
 
-def sentences(documents: DataFrame, sample: int = 4000) -> DataFrame:
-    """(doc_id, start_char, end_char) of every sentence of every document."""
-    fitted = documents.sparkSession.sparkContext.broadcast(fit(documents, sample))
-    return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInArrow(_splitter(fitted), "doc_id long, start_char long, end_char long")
+def sentences(documents: DataFrame, sample: int = 4000, most: int = MOST_TOKENS) -> DataFrame:
+    """(doc_id, start_char, end_char) of every sentence of every document; ``most`` bounds the tokens of a side that are sent to every task."""
+    ends, starts, far = token_classes(documents, most)
+    fitted = documents.sparkSession.sparkContext.broadcast((train(documents, ends, starts, far, sample), ends, starts))
+    return spread(with_far(documents, ends, starts, far)).mapInArrow(_splitter(fitted), "doc_id long, start_char long, end_char long")

@@ -84,3 +84,14 @@ def test_without_examples_the_prior_decides(spark):
     df = spark.createDataFrame([(1, "One ends here. Two ends there. but not here")], "doc_id long, text string")
     assert sorted((r.start_char, r.end_char) for r in sentences.sentences(df).collect()) == [(0, 14), (15, 43)]
     assert sentences._prev_token("x " + "é" * 90 + ".", 92) == "é" * 90
+
+
+def test_tokens_over_the_bound_are_joined(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(corpus(300, 5))]
+    df = spark.createDataFrame([*rows, *rows[:20], (1, None), (2, "")], "doc_id long, text string")
+    model, ends, starts = sentences.fit(df)
+    bounded, few_ends, few_starts = sentences.fit(df, most=5)
+    assert 0 < len(few_ends.digests) <= 5 < len(ends.digests) and 0 < len(few_starts.digests) <= 5 < len(starts.digests)
+    assert bounded.index == model.index and (bounded.weights == model.weights).all()
+    whole, *others = (Counter(map(tuple, sentences.sentences(df, **x).collect())) for x in ({}, {"most": 5}, {"most": 0}))
+    assert whole.total() > 2000 and all(x == whole for x in others)
