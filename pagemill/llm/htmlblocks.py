@@ -187,23 +187,21 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     if not page:
         return nodes, blocks
     page, rest = _visible(page)
-    stack = [0]
+    stack, opened = [0], ["#root"]  # the open elements and their tags
     buf: list[str] = []
     inner: list[str] = []
-    links = linked = pos = 0
+    links = linked = 0
+    parts = _TAG.split(page)  # a text, then of every tag its slash, name, attributes and the text behind it
+    last = parts.pop()
 
-    for m in _TAG.finditer(page):
-        start = m.start()
-        if start > pos:
-            part = page[pos:start]
+    for part, closing, tag, attrs in zip(parts[::4], parts[1::4], parts[2::4], parts[3::4]):
+        if part:
             if not part.isspace():
                 buf.append(part)
                 if links:
                     linked += _dense(part)
             elif buf:
                 buf.append(" ")
-        pos = m.end()
-        closing, tag, attrs = m.groups()
         kind = _KIND.get(tag)
         if kind is None:
             tag = tag.lower()
@@ -225,16 +223,20 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
             inner = []
         linked = links = 0
         if closing:
+            if opened[-1] == tag:
+                stack.pop()
+                opened.pop()
+                continue
             for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
+                if opened[i] == tag:
+                    del stack[i:], opened[i:]
                     break
             continue
         if kind & _ENDS:
             for i in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[i]].tag
+                t = opened[i]
                 if t == "p":
-                    del stack[i:]
+                    del stack[i:], opened[i:]
                     break
                 if t in _P_SCOPE:
                     break
@@ -242,13 +244,13 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
             ends, scope = _SIBLINGS[tag]
             cut = 0
             for i in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[i]].tag
+                t = opened[i]
                 if t in scope:
                     break
                 if t in ends:
                     cut = i
             if cut:
-                del stack[cut:]
+                del stack[cut:], opened[cut:]
         if kind & _IS_VOID:
             continue
         parent = stack[-1]
@@ -263,8 +265,9 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
         nodes.append(Node(tag, cls, parent, p.depth + 1, p.kids))
         p.kids += 1
         stack.append(len(nodes) - 1)
-    if pos < len(page) or rest:
-        buf.append(page[pos:] + rest)
+        opened.append(tag)
+    if last or rest:
+        buf.append(last + rest)
     if buf:
         _add(blocks, buf, stack[-1], linked, inner)
     return nodes, blocks

@@ -77,6 +77,8 @@ ORDER, BITS, WINDOW = 4, 18, 32
 LEAST, EXAMPLE = 0.3, 0.5
 #: Characters that are counted or scored together.
 TOGETHER = 1 << 19
+#: Positions of them that one step of numpy works on, so that what it holds stays in the processor's cache; results don't depend on it.
+NEAR = 1 << 13
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)(?:</noscript\s*>|\Z)", re.S | re.I)
 _TAGS = re.compile(r"<[^>]*>")
@@ -104,22 +106,27 @@ def _plain(text: str) -> str:
 def _codes(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all blocks, which are plain, each with ORDER - 1 line feeds before it, and block starts."""
     pad = "\n" * (ORDER - 1)
-    codes = np.frombuffer("".join([pad + b for b in blocks]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    codes[(codes >= 48) & (codes <= 57)] = 48
+    codes = np.frombuffer("".join([pad + b for b in blocks]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    codes[codes - np.uint32(48) < 10] = 48
     starts = np.cumsum([0] + [len(pad) + len(b) for b in blocks])
     return codes, starts
 
 
 def _slots(codes: np.ndarray) -> list[np.ndarray]:
     """For every order k the table slot of the k characters that end at each position."""
-    mask = np.uint64((1 << BITS) - 1)
-    h = np.zeros(len(codes), dtype=np.uint64)
-    out = []
-    for k in range(ORDER):
-        shifted = codes if k == 0 else np.concatenate([np.zeros(k, dtype=np.uint64), codes[:-k]])[: len(codes)]
-        h = (h + (shifted + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        out.append((h & mask).astype(np.int64))
+    mask, n = np.uint64((1 << BITS) - 1), len(codes)
+    padded = np.concatenate([np.zeros(ORDER - 1, dtype=codes.dtype), codes])
+    out = [np.empty(n, dtype=np.int64) for _ in range(ORDER)]
+    for i in range(0, n, NEAR):
+        j = min(i + NEAR, n)
+        near = padded[i : j + ORDER - 1].astype(np.uint64)
+        near += np.uint64(1)
+        h = np.zeros(j - i, dtype=np.uint64)
+        for k in range(ORDER):
+            h += near[ORDER - 1 - k : ORDER - 1 - k + j - i] * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            out[k][i:j] = h & mask
     return out
 
 
@@ -152,41 +159,67 @@ class CharModel:
         self.total += other.total
         return self
 
-    def log_prob(self, slots: list[np.ndarray], strength: float = 4.0) -> np.ndarray:
-        found = self.counts[0][slots[0]]
-        p = (found + 0.02 * strength) / (self.total + 20 * strength)
-        for k in range(1, ORDER):
-            # the context of order k ends one position earlier
-            before = np.concatenate([self.counts[k - 1][:1], found[:-1]])[: len(found)]
-            found = self.counts[k][slots[k]]
-            p = (found + strength * p) / (before + strength)
-        return np.log(np.maximum(p, 1e-12))
 
-
-def _ratios(slots: list[np.ndarray], models: tuple[CharModel, CharModel, CharModel]) -> list[np.ndarray]:
-    """Sums up to every position of the logarithms of the likelihood ratios of the first two models to the third."""
-    filler, notice, prose = (m.log_prob(slots) for m in models)
-    return [np.concatenate([[0.0], np.cumsum(x - prose, dtype=np.float64)]) for x in (filler, notice)]
-
-
-def block_ratios(slots: list[np.ndarray], starts: np.ndarray, models: tuple[CharModel, CharModel, CharModel]) -> list[np.ndarray]:
-    """Filler and notice ratio a character of every block."""
+class Beside:
+    """Filler, notice and prose models side by side, one such three or more: a look-up gives the counts of all."""
+
+    def __init__(self, *threes: tuple[CharModel, CharModel, CharModel], strength: float = 4.0):
+        models = [m for three in threes for m in three]
+        self.threes, self.width = len(threes), 1 << (len(models) - 1).bit_length()  # rows of a power of two are copied fastest
+        self.strength = strength
+        self.tables = [np.zeros((1 << BITS, self.width), dtype=np.float32) for _ in range(ORDER)]
+        for k, table in enumerate(self.tables):
+            for i, m in enumerate(models):
+                table[:, i] = m.counts[k]
+        self.totals = np.array([m.total + 20 * strength for m in models] + [1.0] * (self.width - len(models)), dtype=np.float32)
+
+    def ratios(self, slots: list[np.ndarray]) -> np.ndarray:
+        """For every three, sums up to every position of the logarithms of the likelihood ratios of its first two models to the third."""
+        n = len(slots[0])
+        out = np.zeros((self.threes, 2, n + 1))
+        totals = np.tile(self.totals, (min(n, NEAR), 1))
+        found = [np.empty((min(n, NEAR) + 1, self.width), dtype=np.float32) for _ in range(ORDER)]  # behind the row of the position before
+        for table, rows in zip(self.tables, found):
+            rows[-1:] = table[:1]
+        for i in range(0, n, NEAR):
+            m = min(NEAR, n - i)
+            for table, rows, s in zip(self.tables, found, slots):
+                rows[0] = rows[-1]
+                np.take(table, s[i : i + m], axis=0, out=rows[1 : m + 1], mode="clip")
+            p = found[0][1 : m + 1] + 0.02 * self.strength
+            p /= totals[:m]
+            for k in range(1, ORDER):
+                # the context of order k ends one position earlier
+                p *= self.strength
+                p += found[k][1 : m + 1]
+                p /= found[k - 1][:m] + self.strength
+            np.log(np.maximum(p, 1e-12, out=p), out=p)
+            for t in range(self.threes):
+                for x in (0, 1):
+                    np.subtract(p[:, 3 * t + x], p[:, 3 * t + 2], out=out[t, x, i + 1 : i + m + 1])
+        return np.cumsum(out, axis=2, out=out)
+
+
+def block_ratios(ratios: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Filler and notice ratio a character of every block, from the sums of a three."""
     a, b = starts[:-1] + ORDER - 1, starts[1:]
-    return [(x[b] - x[a]) / np.maximum(b - a, 1) for x in _ratios(slots, models)]
+    return [(x[b] - x[a]) / np.maximum(b - a, 1) for x in ratios]
 
 
-def block_scores(slots: list[np.ndarray], starts: np.ndarray, models: tuple[CharModel, CharModel, CharModel]) -> list[tuple[int, int, float, float]]:
-    """(residue characters, characters, filler ratio, notice ratio) of every block."""
+def block_scores(ratios: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(residue characters, characters, filler ratio, notice ratio) of every block, from the sums of a three."""
     a, b = starts[:-1] + ORDER - 1, starts[1:]
-    n = b - a
-    size = np.maximum(n, 1)
-    fill, note = _ratios(slots, models)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(ends[-1]) + np.repeat(a - ends[:-1], n)  # the positions of all characters
-    half = WINDOW // 2
-    lo, hi = np.maximum(at - half, np.repeat(a, n)), np.minimum(at + half, np.repeat(b, n))
-    hits = np.concatenate([[0], np.cumsum(np.maximum(fill[hi] - fill[lo], note[hi] - note[lo]) > 0)])
-    columns = hits[ends[1:]] - hits[ends[:-1]], n, (fill[b] - fill[a]) / size, (note[b] - note[a]) / size
+    fill, note = ratios
+    size = np.diff(starts)
+    first, last = np.repeat(a, size), np.repeat(b, size)  # of every position the ends of its block
+    half, n = WINDOW // 2, len(first)
+    hits = np.zeros(n + 1, dtype=np.int64)
+    for i in range(0, n, NEAR):
+        at = np.arange(i, min(i + NEAR, n))
+        lo, hi = np.maximum(at - half, first[i : i + NEAR]), np.minimum(at + half, last[i : i + NEAR])
+        hits[i + 1 : i + 1 + len(at)] = (fill.take(hi) > fill.take(lo)) | (note.take(hi) > note.take(lo))
+    np.cumsum(hits, out=hits)
+    columns = hits[b] - hits[a], b - a, *block_ratios(ratios, starts)
     return list(zip(*(c.tolist() for c in columns)))
 
 
@@ -290,15 +323,16 @@ def _add_all(b: pa.RecordBatch, models: tuple) -> None:
 
 
 def _add_labelled(sent):
-    """Blocks of pages that the models call residue to the first two models; those beside real content to the third."""
+    """Blocks of pages that the models call residue to the first two models; those beside real content to the third. ``sent``: the models of now and, where they are others, those of the seeds."""
 
     def add(b: pa.RecordBatch, models: tuple) -> None:
-        now, seeds = sent.value
+        beside = sent.value
         for pages in _read(b):
             codes, starts = _codes([x for heads, text, _, _ in pages for x in (*heads, *text)])
             slots = _slots(codes)
-            scores = block_scores(slots, starts, now)
-            fills, notes = block_ratios(slots, starts, seeds or now)
+            ratios = beside.ratios(slots)
+            scores = block_scores(ratios[0], starts)
+            fills, notes = block_ratios(ratios[-1], starts)
             known = np.maximum(fills, notes) >= 1.0  # well, by the seeds
             labels = np.full(len(scores), -1)
             at = 0
@@ -336,7 +370,7 @@ def fit(texts: DataFrame, prose: DataFrame | None, rounds: int = 3) -> tuple[Cha
     # without documents most blocks of the pages stand for prose
     seeds = fitted = seeded(empty if lines and lines.total else _counted(texts, _add_all), lines)
     for _ in range(rounds):
-        sent = context.broadcast((fitted, seeds if fitted is not seeds else None))  # 24 tables of 1 MB
+        sent = context.broadcast(Beside(fitted) if fitted is seeds else Beside(fitted, seeds))  # 4 tables of 4 or 8 MB
         fitted = seeded(_counted(texts, _add_labelled(sent)), lines)
         sent.unpersist()
     return fitted
@@ -348,7 +382,7 @@ def _scorer(fitted):
             covered = []
             for part in _read(b):
                 codes, starts = _codes([t for heads, text, _, repeated in part for t in (*heads, *text, *repeated)])
-                scores = block_scores(_slots(codes), starts, fitted.value)
+                scores = block_scores(fitted.value.ratios(_slots(codes))[0], starts)
                 at = 0
                 for heads, text, code, repeated in part:
                     m, n = at + len(heads), at + len(heads) + len(text) + len(repeated)  # text or repeated is empty
@@ -363,7 +397,7 @@ def _scorer(fitted):
 def coverage(pages: DataFrame, prose: DataFrame | None = None) -> DataFrame:
     """(raw_html_path, covered): share of residue in the main text of every file."""
     texts = main_texts(pages, checkpoint(template.template(pages)))
-    fitted = pages.sparkSession.sparkContext.broadcast(fit(texts, prose))  # 12 tables of 1 MB
+    fitted = pages.sparkSession.sparkContext.broadcast(Beside(fit(texts, prose)))  # 4 tables of 4 MB
     return texts.mapInArrow(_scorer(fitted), "raw_html_path string, covered double")
 
 
