@@ -232,7 +232,7 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
                     del stack[i:], opened[i:]
                     break
             continue
-        if kind & _ENDS:
+        if kind & _ENDS and "p" in opened:
             for i in range(len(stack) - 1, 0, -1):
                 t = opened[i]
                 if t == "p":
